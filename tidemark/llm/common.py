@@ -40,6 +40,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: dict[str, str],
     drop, over those columns, says which rows stay. Where replace names a field, its values take the place of the text
     and no other field comes out. Narrow: no shuffle, and a lost task is just run again.
     """
+    importable(df.sparkSession)
     mine = "__text"
     while mine in keep:
         mine += "_"

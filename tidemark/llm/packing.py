@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ARROW, fresh, slices
+from tidemark.llm.common import ARROW, fresh, importable, slices
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY, END_ID = 4096, 2
@@ -158,6 +158,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every id lies in one piece. A null or empty text has the end id alone. Repeated rows are packed each for itself; an
     empty table gives no rows. Sequence numbers are unique: the task's number times 2**40 and a count.
     """
+    importable(docs.sparkSession)
     text = fresh(docs, "__text")
     source = docs.select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(text))
     fields = FIELDS | ({"ids": "array<int>"} if with_ids else {})

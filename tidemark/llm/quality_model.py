@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, fresh
+from tidemark.llm.common import fresh, map_texts
 
 #: Labelled rows that the fit takes at most, those of the lowest hash of their id.
 MOST_LABELLED = 20_000
@@ -17,29 +17,33 @@ L1 = 0.002
 THRESHOLD = 0.7
 
 
-def _per(a: Column, b: Column) -> Column:
-    return a.cast("double") / F.greatest(b.cast("double"), F.lit(1.0))
+FEATURES = ("words", "word_length", "symbols", "bars", "capitals", "digits", "doubled_marks", "stops", "commas", "line_words", "distinct", "echoes")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Counts of the whole text; all run in the JVM."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    n, words = F.length(t), F.regexp_count(t, F.lit(WORD))
-    pieces = F.split(t, " ")
-    return {
-        "words": words.cast("double"),
-        "word_length": _per(n, words),
-        "symbols": _per(F.regexp_count(t, F.lit(r"[#*$%&<>]")), words),
-        "bars": _per(n - F.length(F.replace(t, F.lit("|"), F.lit(""))), words),
-        "capitals": _per(F.regexp_count(t, F.lit(r"\p{Lu}")), n),
-        "digits": _per(F.regexp_count(t, F.lit("[0-9]")), n),
-        "doubled_marks": _per(F.regexp_count(t, F.lit("[!?]{2}")), words),
-        "stops": _per(F.regexp_count(t, F.lit("[.!?]+")), words),
-        "commas": _per(n - F.length(F.replace(t, F.lit(","), F.lit(""))), words),
-        "line_words": _per(words, n - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1),
-        "distinct": _per(F.size(F.array_distinct(pieces)), F.size(pieces)),
-        "echoes": _per(F.regexp_count(t, F.lit(r"(?<![^ ])([^ ]+) (?=\1 )")), words),
-    }
+def statistics(text: str | None) -> tuple[float, ...]:
+    """FEATURES of a whole text, from one count of its bytes and one pass over its words; null counts as empty."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    by_byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=128)
+    words = raw.split()
+    n, w = max(1, len(raw)), max(1, len(words))
+
+    def of(marks: bytes) -> float:
+        return float(by_byte[list(marks)].sum())
+
+    return (
+        float(len(words)),
+        len(raw) / w,
+        of(b"#*$%&<>") / w,
+        of(b"|") / w,
+        float(by_byte[65:91].sum()) / n,
+        float(by_byte[48:58].sum()) / n,
+        (raw.count(b"!!") + raw.count(b"??")) / w,
+        of(b".!?") / w,
+        of(b",") / w,
+        len(words) / (by_byte[10] + 1),
+        len(set(words)) / w,
+        sum(map(bytes.__eq__, words, words[1:])) / w,
+    )
 
 
 Condition = tuple[int, bool, float]  # feature, whether its value is over the cut, cut
@@ -148,14 +152,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, features: tuple[str, ...]) -> RuleMo
 
 def with_statistics(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, dict[str, str]]:
     """The kept columns and one of each statistic, under names that clash with none."""
-    names = {}
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(fresh(docs, "__t")))
-    text = out.columns[-1]
-    made = {}
-    for k, c in statistics(F.col(text)).items():
-        names[k] = fresh(docs, f"__{k}")
-        made[names[k]] = c
-    return out.withColumns(made).drop(text), names
+    names = {k: fresh(docs, f"__{k}") for k in FEATURES}
+    return map_texts(docs, keep, text_col, {v: "double" for v in names.values()}, lambda texts: [list(c) for c in zip(*map(statistics, texts))]), names
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> RuleModel:
@@ -168,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     frame, names = with_statistics(rows, ["__y"], "__text")
     got = frame.select("__y", *names.values()).orderBy(*names.values(), "__y").limit(2 * most).toPandas()
     x = got[list(names.values())].to_numpy(float) if len(got) else np.zeros((0, len(names)))
-    return fit_rules(x, got["__y"].to_numpy(float), tuple(names))
+    return fit_rules(x, got["__y"].to_numpy(float), FEATURES)
 
 
 def score(docs: DataFrame, model: RuleModel, keep: list[str], text_col: str = "text", into: str = "score") -> DataFrame:

@@ -19,7 +19,7 @@ _MARKED = re.compile(r"[#*$%&!]{2}(?=[\x20\x09-\x0D]|$)")
 BOILERPLATE = r"all rights reserved|licensed under|released under the|privacy policy|terms of (?:use|service)|accept (?:all )?cookies|enable javascript|sign in to|log in to|subscribe to our|click here|share this"
 _BOILERPLATE = re.compile(BOILERPLATE)
 #: Of 100 characters in words, how many a document may lose.
-MOST_LOST = 40
+MOST_LOST = 50
 
 FIELDS = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean", "lost_chars": "bigint", "n_lines_removed": "bigint", "clean_text": "string"}
 
