@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, media, near_duplicates, packing, pieces, quality_model, quality_rules
+from tidemark.llm import langid, main_text, media, near_duplicates, packing, pieces, quality_model, quality_rules, surrogates, url_templates
 from tidemark.llm.common import crc_mod, importable
 
+#: A deployment takes its own secret from its configuration.
+SURROGATE_KEY = "tidemark"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -65,9 +68,25 @@ def op6_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+@query()
+def op7_surrogates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return surrogates.replace_personal_data(docs, SURROGATE_KEY, count_into="n_mentions")
+
+
+@query()
+def op8_main_text(spark, d):
+    return main_text.main_text(table(spark, d, "pages"))
+
+
 @query()
 def op9_quality_model(spark, d):
     docs, held_out = table(spark, d, "documents"), crc_mod(F.col("doc_id"), 4, 2)
     model = quality_model.fit(docs, table(spark, d, "labels"), ~held_out)
     scored = quality_model.score(docs, model, ["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= quality_model.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+@query()
+def op10_url_templates(spark, d):
+    return url_templates.filter_urls(table(spark, d, "pages"))
