@@ -217,12 +217,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = shared.groupBy(F.col("cid").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
     hub_pairs = checkpointed(likely(pairs, classes, least))
 
+    # the texts of all these classes leave the table once, for both rounds
+    involved = hub_pairs.select(F.col("a").alias("id")).union(hub_pairs.select("b")).distinct()
+    hub_texts = checkpointed(texts.join(involved, "id"))
+
     # first the hub that shares most bands with each class, then the other hubs across components
     best = hub_pairs.groupBy("a").agg(F.max(F.struct("weight", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b"))
-    edges = checkpointed(confirmed(best, texts, size, percent))
+    edges = checkpointed(confirmed(best, hub_texts, size, percent))
     labels = components(edges)
 
-    def grown(candidates: DataFrame) -> None:
+    def grown(candidates: DataFrame, texts: DataFrame) -> None:
         nonlocal edges, labels
         candidates = checkpointed(candidates)
         if candidates.isEmpty():
@@ -233,7 +237,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             labels = components(edges)
 
     crossing = labelled(labelled(hub_pairs.select("a", "b"), labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b")
-    grown(crossing)
+    grown(crossing, hub_texts)
 
     def unsettled() -> DataFrame:
         """Members of buckets of three classes or more that lie in several components; in buckets of two the hub has settled it."""
@@ -243,8 +247,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rows.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("bigint"))
 
     large = unsettled().filter("blocks > 1")
-    grown(block_candidates(large, classes, least, FIRST_TRIES))
-    grown(block_candidates(unsettled(), classes, least, None))
+    grown(block_candidates(large, classes, least, FIRST_TRIES), texts)
+    grown(block_candidates(unsettled(), classes, least, None), texts)
 
     of_class = labelled(classes.select("key", "cid"), labels, "cid", "component").select("key", "component")
     out = base.join(of_class, "key", "left")
