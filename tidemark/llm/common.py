@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -78,12 +79,30 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut from its lineage by files in the shared checkpoint folder; one is set only where the session has none."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, which all executors share; one is set only where there is none."""
+    sc = spark.sparkContext
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "tidemark-checkpoints"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir("tidemark-checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut from its lineage by a written table in the shared folder. Unlike a checkpoint, the table brings none of the plan's partitionings and constraints along, which grow without end over rounds of joins."""
+    path = f"{shared_folder(df.sparkSession)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def importable(spark) -> None:

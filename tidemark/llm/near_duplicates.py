@@ -11,19 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import sketches as S
-from tidemark.llm.common import checkpointed, map_texts, slices
+from tidemark.llm.common import checkpointed, discard, importable, map_texts, slices
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: How far below the threshold a likelihood estimate may lie; its standard deviation is 0.032.
-SLACK = 0.15
+SLACK = 0.13
 #: Classes along the side of a block.
 BLOCK = 256
-#: In buckets with more classes, the best so many candidates of each class and foreign component go first.
+#: So many of the best candidates between two components go first; the others follow where these have not joined them.
 FIRST_TRIES = 3
+#: Ids of at most so many texts are broadcast to pick the texts out of the table; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -74,9 +76,18 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "weight", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint, weight bigint")
 
 
+def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the documents in the pairs."""
+    ids = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    out = checkpointed(docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id"))
+    discard(ids)
+    return out
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. docs: id, text."""
-    side = lambda x: docs.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
+    """The pairs (a, b) whose full sets are similar enough, as a written table. docs: id, text."""
+    texts = texts_of(pairs, docs)
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
 
     def run(batches):
         known: dict[int, tuple] = {}  # of the hubs met last
@@ -97,13 +108,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                     keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
                 yield pa.RecordBatch.from_arrays(p.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint").distinct()
+    out = checkpointed(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint").distinct())
+    discard(texts)
+    return out
+
+
+def twice(hook: DataFrame) -> DataFrame:
+    """Pointers (r, p) that go on to where p points."""
+    up = hook.select(F.col("r").alias("p"), F.col("p").alias("pp"))
+    return hook.join(up, "p", "left").select("r", F.coalesce("pp", "p").alias("p"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes with an edge (a, b); comp is the least node that can be reached.
 
-    Each round hooks every component on its least neighbour, shortens the pointers twice and contracts the edges; what the
+    Each round hooks every component on its least neighbour, doubles the pointers four times and contracts the edges; what the
     pointers have not reached yet stays as an edge between components, so the result does not depend on their depth.
     """
     live = checkpointed(edges.filter("a <> b").distinct())
@@ -112,13 +131,13 @@ def components(edges: DataFrame) -> DataFrame:
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
         hook = checkpointed(both.groupBy(F.col("a").alias("r")).agg(F.min("b").alias("m")).select("r", F.least("r", "m").alias("p")))
-        up = hook.select(F.col("r").alias("p"), F.col("p").alias("pp"))
         for _ in range(2):
-            hook = hook.join(up, "p", "left").select("r", F.coalesce("pp", "p").alias("p"))
-        hook = checkpointed(hook)
+            hook = checkpointed(twice(twice(hook)))
         to = lambda x: hook.select(F.col("r").alias(x), F.col("p").alias(f"new_{x}"))
+        old = (labels, live)
         labels = checkpointed(labels.join(to("comp"), "comp", "left").select("node", F.coalesce("new_comp", "comp").alias("comp")))
         live = checkpointed(live.join(to("a"), "a").join(to("b"), "b").select(F.col("new_a").alias("a"), F.col("new_b").alias("b")).filter("a <> b").distinct())
+        discard(*old)
     return labels
 
 
@@ -141,19 +160,24 @@ def block_candidates(members: DataFrame, classes: DataFrame, least: float, first
     sorted_rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches):
-        for (_, i, j), cols in groups(batches, 3):
+        for (bucket, i, j), cols in groups(batches, 3):
             mine, cid, comp, n = (np.concatenate([c.to_numpy() for c in col]) for col in cols[:4])
             regs = np.frombuffer(b"".join(x for col in cols[4] for x in col.to_pylist()), "<u2").reshape(len(cid), S.REGISTERS)
             left = np.flatnonzero(mine == i)
             right = left if i == j else np.flatnonzero(mine == j)
             found: list[tuple[int, int, float]] = []
+            keys = S.bands(regs).view(np.int64)
             for k in left.tolist():
                 others = right[(comp[right] != comp[k]) & ((right > k) | (i != j))]
+                if len(others):
+                    others = others[(regs[others] == regs[k]).sum(1) >= (least - 0.15) * S.REGISTERS]
+                if len(others):  # a pair is looked at in the first bucket that it shares
+                    others = others[keys[k][(keys[others] == keys[k]).argmax(1)] == bucket]
                 if not len(others):
                     continue
                 est = S.joint_similarity(np.broadcast_to(regs[k], (len(others), S.REGISTERS)), regs[others], np.full(len(others), n[k]), n[others])
                 good = est >= least
-                found += zip([int(cid[k])] * int(good.sum()), others[good].tolist(), est[good].tolist())
+                found += zip([int(cid[k])] * int(good.sum()), others[good].tolist(), est[good].tolist(), strict=True)
             if first and found:
                 found.sort(key=lambda x: -x[2])
                 tried, some = {}, []
@@ -205,6 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no shingles and no links. Rows that repeat an id are one document, whose texts' links all count; each keeps its row. A
     null id is linked with nothing: component_id is null, and the row is kept. An empty table gives no rows.
     """
+    importable(docs.sparkSession)
     least = percent / 100 - SLACK
     base = checkpointed(sketched(docs, id_col, text_col, size))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -213,43 +238,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = checkpointed(banded(classes))
     hubs = members.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = members.join(hubs.select("bucket", "hub"), "bucket").filter("cid <> hub")
-    pairs = shared.groupBy(F.col("cid").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("weight"))
-    hub_pairs = checkpointed(likely(pairs, classes, least))
-
-    # the texts of all these classes leave the table once, for both rounds
-    involved = hub_pairs.select(F.col("a").alias("id")).union(hub_pairs.select("b")).distinct()
-    hub_texts = checkpointed(texts.join(involved, "id"))
+    shared = members.join(hubs, "bucket").filter("cid <> hub")
+    pairs = checkpointed(shared.groupBy(F.col("cid").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("weight"), F.min("size").alias("size")))
 
-    # first the hub that shares most bands with each class, then the other hubs across components
-    best = hub_pairs.groupBy("a").agg(F.max(F.struct("weight", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b"))
-    edges = checkpointed(confirmed(best, hub_texts, size, percent))
+    # first the hub that shares most bands with each class
+    best = pairs.groupBy("a").agg(F.max(F.struct("weight", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b"), "m.weight")
+    edges = confirmed(checkpointed(likely(best, classes, least)), texts, size, percent)
     labels = components(edges)
 
-    def grown(candidates: DataFrame, texts: DataFrame) -> None:
+    def grown(candidates: DataFrame) -> None:
         nonlocal edges, labels
-        candidates = checkpointed(candidates)
+        candidates = checkpointed(candidates.select("a", "b").distinct())
         if candidates.isEmpty():
             return
-        more = checkpointed(confirmed(candidates, texts, size, percent))
+        more = confirmed(candidates, texts, size, percent)
         if not more.isEmpty():
             edges = edges.union(more)
             labels = components(edges)
 
-    crossing = labelled(labelled(hub_pairs.select("a", "b"), labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb").select("a", "b")
-    grown(crossing, hub_texts)
+    def crossing() -> DataFrame:
+        return labelled(labelled(pairs, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb")
+
+    # then the other hubs, a few between any two components
+    between = Window.partitionBy("ca", "cb").orderBy(F.desc("weight"), "a", "b")
+    some = crossing().withColumn("k", F.row_number().over(between)).filter(F.col("k") <= FIRST_TRIES)
+    grown(likely(some.select("a", "b", "weight"), classes, least))
 
     def unsettled() -> DataFrame:
-        """Members of buckets of three classes or more that lie in several components; in buckets of two the hub has settled it."""
+        """Members of buckets of three classes or more that lie in several components. Buckets of two have one pair, that with the hub."""
         rows = members.join(hubs.filter("size > 2").select("bucket", "size"), "bucket")
         rows = labelled(rows, labels, "cid", "comp")
         mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
         return rows.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("bigint"))
 
-    large = unsettled().filter("blocks > 1")
-    grown(block_candidates(large, classes, least, FIRST_TRIES), texts)
-    grown(block_candidates(unsettled(), classes, least, None), texts)
+    grown(block_candidates(unsettled().filter("blocks > 1"), classes, least, FIRST_TRIES))
+    two = likely(crossing().filter("size = 2").select("a", "b", "weight"), classes, least)
+    grown(block_candidates(unsettled(), classes, least, None).union(two.select("a", "b")))
 
+    discard(members, pairs)
     of_class = labelled(classes.select("key", "cid"), labels, "cid", "component").select("key", "component")
     out = base.join(of_class, "key", "left")
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
