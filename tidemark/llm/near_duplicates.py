@@ -20,8 +20,8 @@ from tidemark.llm.common import checkpointed, discard, importable, map_texts, sl
 SHINGLE_WORDS, PERCENT = 5, 80
 #: How far below the threshold a likelihood estimate may lie; its standard deviation is 0.032.
 SLACK = 0.13
-#: Classes along the side of a block.
-BLOCK = 256
+#: Classes along the side of a block, and in a bucket whose best candidates are tried before the others.
+BLOCK, LARGE = 2048, 256
 #: So many of the best candidates between two components go first; the others follow where these have not joined them.
 FIRST_TRIES = 3
 #: Ids of at most so many texts are broadcast to pick the texts out of the table; more are joined by a shuffle.
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
         return rows.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("bigint"))
 
-    grown(block_candidates(unsettled().filter("blocks > 1"), classes, least, FIRST_TRIES))
+    grown(block_candidates(unsettled().filter(F.col("size") > LARGE), classes, least, FIRST_TRIES))
     two = likely(crossing().filter("size = 2").select("a", "b", "weight"), classes, least)
     grown(block_candidates(unsettled(), classes, least, None).union(two.select("a", "b")))
 
