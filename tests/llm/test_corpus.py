@@ -1,0 +1,293 @@
+"""Corpus operators: against SQL on the small tables, brute force, round trips, held-out accuracy, and odd inputs."""
+
+import random
+import struct
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from oracle import assert_same
+from pyspark.sql import functions as F
+
+from tidemark.llm import langid, main_text, media, near_duplicates, packing, pieces, quality_model, quality_rules, sketches, surrogates, url_templates
+from tidemark.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.01"
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, extra string, n_words string, `component_id` string"
+ROWS = [(1, None), (2, ""), (3, "   \n\t"), (None, "null id text here"), (4, "same words are here again"), (4, "same words are here again"), (5, "same words are here again"), (6, "x" * 100_000 + " " + "word " * 30_000)]
+
+
+def odd(spark, empty=False):
+    return spark.createDataFrame([] if empty else [(i, t, None, None, None, None, "clash", "clash") for i, t in ROWS], ODD)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    assert_same(QUERIES[name](spark, SF), ORACLES[name], SF)
+
+
+OPERATORS = {
+    "near": lambda d: near_duplicates.near_duplicates(d, size=4),
+    "lang": lambda d: langid.identify(d, langid.fit(d), ["doc_id"]),
+    "media": lambda d: media.media_digest(d, ["doc_id"]),
+    "pieces": lambda d: pieces.digest(d, ["doc_id"]),
+    "rules": quality_rules.quality_rules,
+    "model": lambda d: quality_model.score(d, quality_model.fit(d, d.select("doc_id", F.lit(None).cast("int").alias("quality"))), ["doc_id"]),
+    "surrogates": lambda d: surrogates.replace_personal_data(d, "key"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_odd_rows(spark, name):
+    rows = OPERATORS[name](odd(spark)).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in ROWS)
+    assert OPERATORS[name](odd(spark, empty=True)).count() == 0
+    twice = [r for r in rows if r["doc_id"] == 4]
+    assert twice[0] == twice[1]
+
+
+def test_odd_packing(spark):
+    rows = packing.pack_documents(odd(spark)).collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == 1
+    assert packing.pack_documents(odd(spark, empty=True)).count() == 0
+
+
+def brute_components(docs, size, percent):
+    def words(t):
+        return (t or "").encode().lower().split()
+
+    def shingles(w):
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+    sets = {d: shingles(words(t)) for d, t in docs}
+    comp = {d: d for d in sets}
+    changed = True
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and sets[a] & sets[b]]
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(comp[a], comp[b])
+            if comp[a] != m or comp[b] != m:
+                comp[a] = comp[b] = m
+                changed = True
+    return comp
+
+
+def test_near_duplicates_by_brute_force(spark):
+    rng, docs = random.Random(5), []
+    vocabulary = [f"w{i}" for i in range(2000)]
+    for _ in range(4):
+        base = [rng.choice(vocabulary) for _ in range(100)]
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            docs.append((len(docs), " ".join(w)))
+    docs += [(len(docs) + i, t) for i, t in enumerate(["", "Only three words", "only THREE words", "É", "é", "a b c d"])]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), size=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(docs, 4, 80)
+
+
+def test_sketch_merges_and_estimates():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2**64, 900, np.uint64), rng.integers(0, 2**64, 300, np.uint64)
+    union = sketches.sketch(np.concatenate([a, b]))
+    assert (sketches.merge(sketches.sketch(a), sketches.sketch(b)) == union).all()
+    est = sketches.joint_similarity(sketches.sketch(a)[None], union[None], np.array([900]), np.array([1200]))
+    assert abs(est[0] - 0.75) < 0.12
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    rows = QUERIES["op2_language"](spark, SF).join(docs, "doc_id").filter("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+
+
+def test_bitmask_filter_counts():
+    members = [np.arange(1, 2000, dtype=np.uint64), np.arange(1000, 3000, dtype=np.uint64)]
+    f = langid.BitmaskFilter.build(("a", "b"), members)
+    assert (f.masks(members[0]) & 1).all() and (f.masks(members[1]) & 2).all()
+    assert f.hits(np.arange(10_000, 20_000, dtype=np.uint64)).max() < 100
+    assert f.predict(None) == ("und", 0.0) and f.predict("12 !")[0] == "und"
+
+
+def test_quality_held_out(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = QUERIES["op9_quality_model"](spark, SF).join(labels, "doc_id").filter("held_out").collect()
+    assert sum((r["predicted"] == 1) == (r["quality"] == 1) for r in rows) >= 0.95 * len(rows)
+
+
+def test_rules_as_columns_match(spark):
+    rng = np.random.default_rng(2)
+    x = rng.random((400, len(quality_model.FEATURES)))
+    m = quality_model.fit_rules(x, (x[:, 2] + x[:, 3] < 0.9).astype(float), quality_model.FEATURES)
+    frame = spark.createDataFrame(x.tolist(), list(quality_model.FEATURES))
+    got = [r["s"] for r in frame.select(m.column({k: F.col(k) for k in quality_model.FEATURES}).alias("s")).collect()]
+    assert np.allclose(got, m.scores(x)) and m.rules
+
+
+def test_ogg_round_trip_and_damage():
+    for size in (64, 8192, 70_016):
+        payload = bytes(i * 7 % 256 for i in range(size))
+        m = media.encode(payload)
+        d = media.decode(m)
+        assert d.payload == payload and d.timestamps[-1] == size / media.RATE
+        broken = bytearray(m)
+        broken[len(m) // 2] ^= 1
+        with pytest.raises(media.BadMedia):
+            media.decode(bytes(broken))
+
+
+def test_ogg_checksum_by_bits():
+    def slow(data):
+        crc = 0
+        for byte in data:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1) ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1
+            crc &= 0xFFFFFFFF
+        return crc
+
+    for data in (b"", b"a", b"OggS" + bytes(range(256))):
+        assert media.page_crc(data) == slow(data)
+
+
+def test_ogg_long_packet_spans_pages():
+    data = bytes(200_000)
+    pages = [p for _, p in media.pages_of(9, [(b"head", 0), (data, 7)])]
+    streams = media.demultiplex(b"".join(pages))
+    assert streams[9].packets == [b"head", data] and streams[9].granules == [0, 7] and len(pages) > 2
+    assert struct.unpack_from("<q", pages[1], 6)[0] == -1
+
+
+def brute_viterbi(c, unit):
+    best = {0: (0.0, ())}
+    for e in range(1, len(unit) + 1):
+        options = []
+        for s in range(e):
+            piece = c.sp.piece_to_id(unit[s:e])
+            if piece != c.unknown and not c.sp.is_byte(piece) and not c.sp.is_control(piece):
+                options.append((best[s][0] + c.sp.get_score(piece), (*best[s][1], piece)))
+        if c.sp.piece_to_id(unit[e - 1]) == c.unknown:
+            options.append((best[e - 1][0] + c.unknown_score, (*best[e - 1][1], *[c.bytes[b] for b in unit[e - 1].encode()])))
+        best[e] = max(options, key=lambda o: o[0])
+    return best[len(unit)]
+
+
+def test_pieces_by_brute_force_and_round_trip():
+    c = pieces.coder(pieces.MODEL)
+    score = lambda ids: sum(c.sp.get_score(i) for i in ids if i not in c.byte_of)
+    for text in ("hello world", "Überraschung über ñandú", "ab\ncd  e", "snow ☃ 雪 end", " lead"):
+        ids = c.encode(text)
+        assert c.decode(ids) == text
+        want_score, want = brute_viterbi(c, c.sp.normalize(text))
+        assert len([i for i in ids if i in c.byte_of]) == len([i for i in want if i in c.byte_of])
+        assert score(ids) == pytest.approx(score(want))
+
+
+def test_packing_covers_every_id_once(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op6_packing"](spark, SF).collect()
+    coder = packing.WordTokenizer()
+    ids = {d: np.append(np.frombuffer(coder.whole(t or ""), "<u4"), np.uint32(2)).astype("<u4") for d, t in docs.items()}
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+    for d, own in by_doc.items():
+        at = 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += r["length"]
+        assert at == len(ids[d])
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= packing.CAPACITY
+    assert sum(r["length"] for r in rows) >= 0.98 * 4096 * len(by_sequence)
+
+
+def test_surrogates(spark):
+    text = 'Mr. John Smith (a.b@mail.org, A.B@mail.org) and Herr Smith, Mrs Anna Smith, Г-н Иван Петров; +1 (017) 555-7713, 4111 1111 1111 1111, 97.51.17.173, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" 9233A8ECF7C5B09FE5949719B6B82BC439E9329B.'
+    out = surrogates.replace_personal_data(spark.createDataFrame([(1, text), (2, "again 97.51.17.173 Herr Smith"), (3, "plain. Version 2.0")], "doc_id bigint, text string"), "k").collect()
+    made = {r["doc_id"]: r["text"] for r in out}
+    for gone in ("John", "Smith", "mail.org", "555-7713", "4111", "97.51.17.173", "04dbebab", "9233A8E", "Иван"):
+        assert gone not in made[1] + made[2]
+    assert made[3] == "plain. Version 2.0"
+    assert made[2].split()[1] in made[1] and made[2].split(" ", 2)[2] in made[1]
+    digits = [int(x) for x in made[1].split("), ")[0] if x.isdigit()]
+    assert digits and made[1].count(".example.org") == 2
+
+
+def test_surrogate_collisions_are_redrawn(spark, monkeypatch):
+    first = surrogates.Keyed.stream
+    monkeypatch.setattr(surrogates.Keyed, "stream", lambda self, kind, normal, nonce: F.when(nonce == 0, first(self, F.lit("k"), F.lit("one"), nonce)).otherwise(first(self, kind, normal, nonce)))
+    rows = [(i, f"ip {i}.2.3.4 and 5.6.7.{i}") for i in range(1, 9)]
+    out = surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").collect()
+    found = [w for r in out for w in r["text"].split() if w[0].isdigit()]
+    assert len(found) == 16 and len(set(found)) == 16
+
+
+PAGES = """<html><head><title>T</title></head><body><header>Site</header><div class="cookie-notice">Cookies</div><article><h1>Head &amp; line</h1><p>One<br>two <b>three</b>
+ four<p>Five &#233;<script>var x = "<p>no</p>";</script><aside>Side</aside><section class="comments"><p>Reader</p></section></article><footer>F</footer>"""
+
+
+def test_main_text():
+    assert main_text.extract(PAGES) == "Head & line\nOne two three four\nFive é"
+    assert main_text.extract(None) == "" and main_text.extract("plain words") == "plain words"
+    assert main_text.extract("<p>a</p><ul class=menu><li><a>x</a></ul><p>b") == "a\nb"
+
+
+def test_wrapper_of_a_host_without_article():
+    page = "<body><div><span>Welcome to the site</span></div><h2>{0}</h2>{1}<div>Contact us at once</div></body>"
+    pages = [page.format(f"Title {i}", "".join(f"<p>text {i} {k}</p>" for k in range(i + 1))) for i in range(4)]
+    w = main_text.infer(pages)
+    assert set(main_text.fixed_texts(w)) == {"Welcome to the site", "Contact us at once"}
+    assert any(k == "repeat" for k, _ in [x for i in w for x in (i[1] if i[0] == "optional" else [i])])
+    assert main_text.extract(pages[2], frozenset(main_text.fixed_texts(w))) == "Title 2\ntext 2 0\ntext 2 1\ntext 2 2"
+
+
+def test_main_text_rows(spark):
+    rows = [(1, "http://h.com/a", PAGES), (2, None, None), (3, "no scheme", "<p>x</p>"), (3, "no scheme", "<p>x</p>")]
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, text string")
+    got = main_text.main_text(frame).collect()
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in got)[1:] == [(2, "", 0), (3, "x", 1), (3, "x", 1)]
+    assert main_text.main_text(frame.limit(0)).count() == 0
+
+
+def test_url_rules_and_templates(spark):
+    rows = ["http://a.ORG/x", "https://www.example.org/es/1", "http://example.org/en/17?x", "http://example.org/en/27", "ftp://x.com/de/1", "ftp://x.com/fr/1", "http://xcom/de/1", None, "nothing", "http://org", "http://a.net"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string").withColumn("verdict", F.lit("clash"))
+    got = [tuple(r)[1:5] for r in sorted(url_templates.filter_urls(frame).collect())]
+    assert got == [
+        ("a.org", "/x", "org/", "allow"), ("www.example.org", "/es/1", "example.org/es/", "block"), ("example.org", "/en/17", "example.org/en/1", "block"), ("example.org", "/en/27", "org/", "allow"),
+        ("x.com", "/de/1", "com/de/", "block"), ("x.com", "/fr/1", "com/fr/", "allow"), ("xcom", "/de/1", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("org", "", None, "allow"), ("a.net", "", None, "allow"),
+    ]
+
+
+def test_bad_template_is_rejected(spark):
+    rules = (url_templates.Rule("bad.com", "/ads/1", False), url_templates.Rule("bad.com", "/news/1", True))
+    urls = [f"http://bad.com/{k}/{n}" for k in ("ads", "news") for n in [*range(100, 200), 777]]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["path"]: (r["rule"], r["verdict"]) for r in url_templates.filter_urls(frame, rules=rules).collect()}
+    assert got["/ads/777"] == (None, "block") and got["/news/777"] == (None, "allow")
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.rules(spark, docs, SF).collect()}
+    assert kept == {r["doc_id"] for r in quality_rules.quality_rules(docs).filter("kept").collect()}
+    columns, names = docs.columns, [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+    rows = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
