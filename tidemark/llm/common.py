@@ -21,6 +21,9 @@ ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boole
 SLICE_ROWS, SLICE_CHARS = 1000, 4_000_000
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts (column number text) are bounded in number and in bytes."""
     if not batch.num_rows:
@@ -109,5 +112,11 @@ def importable(spark) -> None:
     """Python workers find this package where the driver has it, if that folder is on their machine too; else it comes by --py-files."""
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
+    # freed memory goes back to the machine, and batches of long texts stay small on both sides
+    environment.setdefault("MALLOC_ARENA_MAX", "2")
+    environment.setdefault("MALLOC_TRIM_THRESHOLD_", "1000000")
+    environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    if int(spark.conf.get(BATCH, "10000")) > SLICE_ROWS:
+        spark.conf.set(BATCH, str(SLICE_ROWS))
     if home not in (held := environment.get("PYTHONPATH", "")).split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (held, home) if x)

@@ -161,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     own = labels.select(F.col(id_col), F.col(label_col).alias("__y")).filter(F.col("__y").isin(0, 1))
     if learn is not None:
         own = own.filter(learn)
-    own = own.orderBy(F.xxhash64(id_col), id_col, "__y").limit(most)  # a top-k of bounded size
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(own, id_col)
+    own = own.orderBy(F.xxhash64(id_col), id_col, "__y").limit(most)  # a top-k of bounded size, `most` rows of two numbers
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(own), id_col)
     frame, names = with_statistics(rows, ["__y"], "__text")
     got = frame.select("__y", *names.values()).orderBy(*names.values(), "__y").limit(2 * most).toPandas()
     x = got[list(names.values())].to_numpy(float) if len(got) else np.zeros((0, len(names)))
