@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, importable, slices
+from tidemark.llm.common import checkpointed, fresh, importable, slices
 from tidemark.llm.url_templates import host_of
 
 #: Pages of a host that its wrapper is inferred from, those of the lowest hash of their id; tokens of each, and of a repeated unit, at most.
 SAMPLE_PAGES, MOST_TOKENS, MOST_UNIT = 8, 4000, 12
 
+#: Sampled ids, and characters of all templates, that are broadcast at most; beyond these the pages are shuffled.
+MOST_SAMPLED, MOST_TEMPLATE_CHARS = 500_000, 16_000_000
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*(?:>|$)", re.I) for t in ("script", "style", "textarea", "noscript", "template", "iframe", "svg", "xmp")}
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -253,7 +256,9 @@ def wrappers(pages: DataFrame, id_col: str, url_col: str, html_col: str, sample:
     light = pages.select(host_of(F.col(url_col)).alias("host"), F.col(id_col).alias("id"), F.xxhash64(id_col, url_col).alias("h")).filter("id IS NOT NULL")
     first = Window.partitionBy("host").orderBy("h", "id")
     chosen = light.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample).select("host", "id").distinct()  # limited in each task before the shuffle
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(chosen, "id").filter(F.col("html").isNotNull())
+    chosen = checkpointed(chosen)
+    few = F.broadcast(chosen) if chosen.count() <= MOST_SAMPLED else chosen
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(few, "id").filter(F.col("html").isNotNull())
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         own = sorted(set(group["html"]))[:sample]
@@ -275,7 +280,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     host, page, template = fresh(pages, "__host"), fresh(pages, "__html"), fresh(pages, "__template")
     known = wrappers(pages, id_col, url_col, html_col).select(F.col("host").alias(host), F.col("template").alias(template))
     rows = pages.select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), host_of(F.col(f"`{url_col}`")).alias(host), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias(page))
-    rows = rows.join(known, host, "left").select(id_col, url_col, template, page)
+    known = checkpointed(known)
+    size = known.agg(F.sum(F.length(template) + F.length(host) + 64)).first()[0] or 0
+    rows = rows.join(F.broadcast(known) if size <= MOST_TEMPLATE_CHARS else known, host, "left").select(id_col, url_col, template, page)
 
     def run(batches):
         texts: dict[str | None, frozenset[str]] = {None: frozenset()}
