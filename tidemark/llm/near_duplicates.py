@@ -2,7 +2,8 @@
 
 Equal sets are one class from the start, so copies cost one row each. In a bucket only its smallest class is tried first
 (hub); classes that are in one component need no further test; what is left in buckets of several components is compared
-in square blocks of bounded size. No step lists all pairs of a group, and no bucket is cut off.
+in square blocks of bounded size, where the sets themselves lie and only links come out. No step lists all pairs of a group,
+and no bucket is cut off.
 """
 
 from __future__ import annotations
@@ -20,14 +21,19 @@ from tidemark.llm.common import checkpointed, discard, importable, map_texts, sl
 SHINGLE_WORDS, PERCENT = 5, 80
 #: How far below the threshold a likelihood estimate may lie; its standard deviation is 0.032.
 SLACK = 0.13
-#: Classes along the side of a block, and in a bucket whose best candidates are tried before the others.
-BLOCK, LARGE = 2048, 256
+#: Classes along the side of a block, and shingles of all of them together.
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
 #: So many of the best candidates between two components go first; the others follow where these have not joined them.
 FIRST_TRIES = 3
 #: Ids of at most so many texts are broadcast to pick the texts out of the table; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 
+def set_key(h: np.ndarray) -> bytes:
+    """16 bytes that stand for a set of shingles."""
+    return np.array([h.sum(dtype=np.uint64), np.bitwise_xor.reduce(S.mixed(h * np.uint64(3)))], np.uint64).tobytes()
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """id, n, key (16 bytes that stand for the set; null for an empty one), sketch."""
 
@@ -36,8 +42,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
         for t in texts:
             h = S.shingles(t, size)
             if len(h):
-                key = np.array([h.sum(dtype=np.uint64), np.bitwise_xor.reduce(S.mixed(h * np.uint64(3)))], np.uint64)
-                out.append((len(h), key.tobytes(), S.sketch(h).tobytes()))
+                out.append((len(h), set_key(h), S.sketch(h).tobytes()))
             else:
                 out.append((0, None, None))
         return [list(c) for c in zip(*out)]
@@ -46,7 +51,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """(bucket, cid) of every band."""
+    """(bucket, cid, n) of every band."""
 
     def run(batches):
         for b in batches:
@@ -54,10 +59,10 @@ def banded(classes: DataFrame) -> DataFrame:
                 part = b.slice(at, 1000)
                 regs = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(part.num_rows, S.REGISTERS)
                 buckets = S.bands(regs).view(np.int64).ravel()
-                cids = np.repeat(part.column(0).to_numpy(), S.BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(cids)], names=["bucket", "cid"])
+                cids, sizes = (pa.array(np.repeat(part.column(c).to_numpy(), S.BANDS)) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(buckets), cids, sizes], names=["bucket", "cid", "n"])
 
-    return classes.select("cid", "sketch").mapInArrow(run, "bucket bigint, cid bigint")
+    return classes.select("cid", "sketch", "n").mapInArrow(run, "bucket bigint, cid bigint, n bigint")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -76,10 +81,15 @@ def likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "weight", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint, weight bigint")
 
 
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of a written table of distinct ids."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id")
+
+
 def texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, text) of the documents in the pairs."""
     ids = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    out = checkpointed(docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id"))
+    out = checkpointed(picked(docs, ids))
     discard(ids)
     return out
 
@@ -147,53 +157,106 @@ def labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataFr
     return rows.join(own, node, "left").withColumn(into, F.coalesce("__comp", node)).drop("__comp")
 
 
-def block_candidates(members: DataFrame, classes: DataFrame, least: float, first: int | None) -> DataFrame:
-    """Likely pairs of different components within each bucket, from blocks of its classes. members: bucket, cid, comp, blocks (of the bucket).
-
-    With `first`, only that many of the best for each class and foreign component.
-    """
+def placed(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of all blocks, sorted by block. members: bucket, cid, comp, blocks (of the bucket)."""
     own = members.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     # a class stands in the row of its block, as a, and in the column, as b; blocks (i, j) with i <= j hold all pairs
     grid = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    placed = grid.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "comp")
-    rows = placed.join(classes.select("cid", "n", "sketch"), "cid").select("bucket", "i", "j", "mine", "cid", "comp", "n", "sketch")
-    sorted_rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    at = grid.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "comp")
+    return by_block(at.join(classes.select("cid", "n", "key", "sketch"), "cid"))
+
+
+def by_block(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(*PLACED, *more).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+#: Columns of a row in a block; the first three name the block.
+PLACED = ["bucket", "i", "j", "mine", "cid", "comp", "n", "key", "sketch"]
+
+
+class Block:
+    """The classes of one block, and which of them may be linked though their components differ."""
+
+    def __init__(self, key: tuple, cols: list[list[pa.Array]]):
+        self.bucket, self.i, self.j = key
+        self.arrays = [pa.concat_arrays(c) for c in cols]
+        self.mine, self.cid, comp, self.n = (c.to_numpy() for c in self.arrays[:4])
+        self.root = comp.copy()
+        self.regs = np.frombuffer(b"".join(self.arrays[5].to_pylist()), "<u2").reshape(len(self.cid), S.REGISTERS)
+
+    def join(self, k: int, o: int) -> None:
+        self.root[self.root == self.root[o]] = self.root[k]
+
+    def candidates(self, least: float) -> Iterator[tuple[int, np.ndarray]]:
+        """For a class, the others of the other side and of components other than its own whose estimate reaches `least`, the best first."""
+        left = np.flatnonzero(self.mine == self.i)
+        right = left if self.i == self.j else np.flatnonzero(self.mine == self.j)
+        regs, keys = self.regs, S.bands(self.regs).view(np.int64)
+        for k in left.tolist():
+            others = right[(self.root[right] != self.root[k]) & ((right > k) | (self.i != self.j))]
+            if len(others):
+                others = others[(regs[others] == regs[k]).sum(1) >= (least - 0.15) * S.REGISTERS]
+            if len(others):  # a pair is looked at in the first bucket that it shares
+                others = others[keys[k][(keys[others] == keys[k]).argmax(1)] == self.bucket]
+            if len(others):
+                est = S.joint_similarity(np.broadcast_to(regs[k], (len(others), S.REGISTERS)), regs[others], np.full(len(others), self.n[k]), self.n[others])
+                order = np.argsort(-est, kind="stable")
+                if len(others := others[order][est[order] >= least]):
+                    yield k, others
+
+
+def promising(rows: DataFrame, least: float) -> DataFrame:
+    """The rows of blocks that have a candidate there."""
 
     def run(batches):
-        for (bucket, i, j), cols in groups(batches, 3):
-            mine, cid, comp, n = (np.concatenate([c.to_numpy() for c in col]) for col in cols[:4])
-            regs = np.frombuffer(b"".join(x for col in cols[4] for x in col.to_pylist()), "<u2").reshape(len(cid), S.REGISTERS)
-            left = np.flatnonzero(mine == i)
-            right = left if i == j else np.flatnonzero(mine == j)
-            found: list[tuple[int, int, float]] = []
-            keys = S.bands(regs).view(np.int64)
-            for k in left.tolist():
-                others = right[(comp[right] != comp[k]) & ((right > k) | (i != j))]
-                if len(others):
-                    others = others[(regs[others] == regs[k]).sum(1) >= (least - 0.15) * S.REGISTERS]
-                if len(others):  # a pair is looked at in the first bucket that it shares
-                    others = others[keys[k][(keys[others] == keys[k]).argmax(1)] == bucket]
-                if not len(others):
-                    continue
-                est = S.joint_similarity(np.broadcast_to(regs[k], (len(others), S.REGISTERS)), regs[others], np.full(len(others), n[k]), n[others])
-                good = est >= least
-                found += zip([int(cid[k])] * int(good.sum()), others[good].tolist(), est[good].tolist(), strict=True)
-            if first and found:
-                found.sort(key=lambda x: -x[2])
-                tried, some = {}, []
-                for a, o, e in found:
-                    key = (a, int(comp[o]))
-                    if tried.setdefault(key, 0) < first:
-                        tried[key] += 1
-                        some.append((a, o, e))
-                found = some
-            if found:
-                a, o, _ = zip(*found)
-                b = cid[list(o)]
-                a = np.array(a, np.int64)
+        for key, cols in groups(batches, 3):
+            block = Block(key, cols)
+            hit = np.zeros(len(block.cid), bool)
+            for k, others in block.candidates(least):
+                hit[k] = hit[others] = True
+            if hit.any():
+                same = [pa.array(np.full(len(hit), x)) for x in key]
+                yield pa.RecordBatch.from_arrays([*same, *block.arrays], names=PLACED).filter(pa.array(hit))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def linked_in_blocks(members: DataFrame, classes: DataFrame, docs: DataFrame, least: float, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all components which any link within a bucket joins, as a written table; at most one a class and block comes out.
+
+    The sets of the classes with candidates are computed once and brought to their blocks, not to pairs.
+    """
+    rows = checkpointed(promising(placed(members, classes), least))
+    ids = checkpointed(rows.select(F.col("cid").alias("id")).distinct())
+
+    def sets(texts):
+        found = [S.shingles(t, size) for t in texts]
+        return [[set_key(h) if len(h) else None for h in found], [h.tobytes() for h in found]]
+
+    hashed = map_texts(picked(docs, ids), ["id"], "text", {"key": "binary", "hashes": "binary"}, sets).dropDuplicates(["id", "key"])
+    full = rows.join(hashed.withColumnRenamed("id", "cid"), ["cid", "key"])
+
+    def run(batches):
+        for key, cols in groups(batches, 3):
+            block, links = Block(key, cols), []
+            sets = block.arrays[6]
+            of = lambda k: np.frombuffer(sets[k].as_buffer(), np.uint64)  # noqa: E731, B023
+            for k, others in block.candidates(least):
+                x = of(k)
+                for o in others.tolist():
+                    if block.root[o] != block.root[k]:
+                        y = of(o)
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * both >= percent * (len(x) + len(y) - both) and both:
+                            links.append((k, o))
+                            block.join(k, o)
+            if links:
+                a, b = (block.cid[list(c)] for c in zip(*links))
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    out = checkpointed(by_block(full, "hashes").mapInArrow(run, "a bigint, b bigint"))
+    discard(rows, ids)
+    return out
 
 
 def groups(batches, keys: int) -> Iterator[tuple[tuple, list[list[pa.Array]]]]:
@@ -237,24 +300,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = checkpointed(named.groupBy("key").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     members = checkpointed(banded(classes))
-    hubs = members.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    hubs = members.groupBy("bucket").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("n_all")).filter("size > 1")
     shared = members.join(hubs, "bucket").filter("cid <> hub")
     pairs = checkpointed(shared.groupBy(F.col("cid").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("weight"), F.min("size").alias("size")))
 
     # first the hub that shares most bands with each class
     best = pairs.groupBy("a").agg(F.max(F.struct("weight", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b"), "m.weight")
-    edges = confirmed(checkpointed(likely(best, classes, least)), texts, size, percent)
-    labels = components(edges)
+    labels = components(confirmed(checkpointed(likely(best, classes, least)), texts, size, percent))
 
-    def grown(candidates: DataFrame) -> None:
-        nonlocal edges, labels
-        candidates = checkpointed(candidates.select("a", "b").distinct())
-        if candidates.isEmpty():
+    def grown(links: DataFrame) -> None:
+        """Joins the components that the links lie between."""
+        nonlocal labels
+        if links.isEmpty():
             return
-        more = confirmed(candidates, texts, size, percent)
-        if not more.isEmpty():
-            edges = edges.union(more)
-            labels = components(edges)
+        between = labelled(labelled(links, labels, "a", "ca"), labels, "b", "cb")
+        joined = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        new = joined.join(labels.select("node"), "node", "left_anti")
+        old = labels
+        labels = checkpointed(labelled(labels.withColumnRenamed("comp", "was"), joined, "was", "comp").select("node", "comp").union(new.select("node", "comp")))
+        discard(old, joined)
 
     def crossing() -> DataFrame:
         return labelled(labelled(pairs, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb")
@@ -262,18 +326,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # then the other hubs, a few between any two components
     between = Window.partitionBy("ca", "cb").orderBy(F.desc("weight"), "a", "b")
     some = crossing().withColumn("k", F.row_number().over(between)).filter(F.col("k") <= FIRST_TRIES)
-    grown(likely(some.select("a", "b", "weight"), classes, least))
-
-    def unsettled() -> DataFrame:
-        """Members of buckets of three classes or more that lie in several components. Buckets of two have one pair, that with the hub."""
-        rows = members.join(hubs.filter("size > 2").select("bucket", "size"), "bucket")
-        rows = labelled(rows, labels, "cid", "comp")
-        mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-        return rows.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("bigint"))
-
-    grown(block_candidates(unsettled().filter(F.col("size") > LARGE), classes, least, FIRST_TRIES))
-    two = likely(crossing().filter("size = 2").select("a", "b", "weight"), classes, least)
-    grown(block_candidates(unsettled(), classes, least, None).union(two.select("a", "b")))
+    grown(confirmed(checkpointed(likely(some.select("a", "b", "weight"), classes, least)), texts, size, percent))
+
+    # and all that is left: buckets of two classes have one pair, that with the hub; members of larger ones that lie in several components meet in blocks
+    rows = labelled(members.select("bucket", "cid").join(hubs.filter("size > 2").select("bucket", "size", "n_all"), "bucket"), labels, "cid", "comp")
+    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    unsettled = rows.join(mixed, "bucket").withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n_all") / BLOCK_SHINGLES)).cast("bigint"))
+    two = checkpointed(likely(crossing().filter("size = 2").select("a", "b", "weight"), classes, least))
+    grown(linked_in_blocks(unsettled, classes, texts, least, size, percent).union(confirmed(two, texts, size, percent)))
 
     discard(members, pairs)
     of_class = labelled(classes.select("key", "cid"), labels, "cid", "component").select("key", "component")
