@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 from functools import cache
 
 import ahocorasick
@@ -21,10 +22,25 @@ from tidemark.llm.common import map_texts
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+LETTER = re.compile(r"[^\W_]")
 #: Segmented units that a Python worker keeps.
 MOST_CACHED = 300_000
 
 
+class Segmented(dict):
+    """The ids of the units met last, as bytes; a unit that is not there is segmented."""
+
+    def __init__(self, segment: Callable[[str], list[int]]):
+        super().__init__()
+        self.segment = segment
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= MOST_CACHED:
+            self.clear()
+        ids = self[unit] = array("i", self.segment(unit)).tobytes()
+        return ids
+
+
 class PieceCoder:
     def __init__(self, model_file: str = MODEL, model_proto: bytes | None = None):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_proto=model_proto) if model_proto else sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -35,7 +51,7 @@ class PieceCoder:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.silent = {i for i in range(n) if sp.is_control(i)}
         self.unknown = sp.unk_id()
-        self.automaton, least, inner, chars = ahocorasick.Automaton(), 0.0, False, set()
+        self.automaton, least, inner, chars, pairs = ahocorasick.Automaton(), 0.0, False, set(), set()
         for i, p in enumerate(self.pieces):
             if not special[i]:
                 s = sp.get_score(i)
@@ -43,33 +59,38 @@ class PieceCoder:
                 least = min(least, s)
                 inner |= SPACE in p.lstrip(SPACE)
                 chars.update(p)
+                pairs.update(zip(p, p[1:]))
         self.automaton.make_automaton()
         self.unknown_score = least - UNKNOWN_PENALTY
-        # no piece spans the end of a word or a line break, so each such unit can be segmented alone
-        self.units = None if inner else re.compile(f"\n+|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if "\n" not in chars else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cached: dict[str, bytes] = {}
+        self.single = {p for i, p in enumerate(self.pieces) if len(p) == 1 and not special[i]}
+        # no piece spans the end of a word or a line break, or has a letter before one of these marks, so each such unit can be segmented alone
+        marks = chars - {SPACE, "\n"} - {b for a, b in pairs if LETTER.fullmatch(a)} - set(filter(LETTER.fullmatch, chars))
+        word = f"{SPACE}*{LETTER.pattern}+(?=[{re.escape(''.join(sorted(marks)))}])|" if marks else ""
+        self.units = None if inner else re.compile(word + (f"\n+|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if "\n" not in chars else f"{SPACE}*[^{SPACE}]+|{SPACE}+"))
+        self.cached = Segmented(self.segment)
+        utf8 = [p.encode("utf-8", "surrogatepass") for p in self.pieces]
+        self.utf8 = [bytes([self.byte_of[i]]) if i in self.byte_of else " ⁇ ".encode() if i == self.unknown else u for i, u in enumerate(utf8)]
 
     def segment(self, unit: str) -> list[int]:
         """At each end position the automaton gives all pieces that end there, the longest first; each relaxes the best score. A character without a piece of its own may be unknown."""
         n = len(unit)
         best, back, ids = [0.0] + [-1e300] * n, [0] * (n + 1), [-1] * (n + 1)
-        done, alone = 0, False  # positions before done are final
+        lone = [] if self.single.issuperset(unit) else [p for p, c in enumerate(unit) if c not in self.single]
+        done = 0  # of the lone characters, those before this one are relaxed
 
-        def close(p: int, alone: bool) -> None:
-            if not alone and best[p] + self.unknown_score > best[p + 1]:
+        def unknown(p: int) -> None:
+            if best[p] + self.unknown_score > best[p + 1]:
                 best[p + 1], back[p + 1], ids[p + 1] = best[p] + self.unknown_score, p, -1
 
         for end, (size, score, piece) in self.automaton.iter(unit):
-            while done < end:
-                close(done, alone)
-                done, alone = done + 1, False
+            while done < len(lone) and lone[done] < end:
+                unknown(lone[done])
+                done += 1
             start = end + 1 - size
             if (s := best[start] + score) > best[end + 1]:
                 best[end + 1], back[end + 1], ids[end + 1] = s, start, piece
-            alone |= size == 1
-        while done < n:
-            close(done, alone)
-            done, alone = done + 1, False
+        for p in lone[done:]:
+            unknown(p)
         out, p = [], n
         while p:
             out.append((ids[p], back[p], p))
@@ -89,22 +110,16 @@ class PieceCoder:
         normal = self.sp.normalize(text or "")
         if self.units is None:
             return array("i", self.segment(normal)).tobytes()
-        units = self.units.findall(normal)
-        try:
-            return b"".join(map(self.cached.__getitem__, units))
-        except KeyError:
-            if len(self.cached) > MOST_CACHED:
-                self.cached.clear()
-            for u in units:
-                if u not in self.cached:
-                    self.cached[u] = array("i", self.segment(u)).tobytes()
-            return b"".join(map(self.cached.__getitem__, units))
+        return b"".join(map(self.cached.__getitem__, self.units.findall(normal)))
 
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.encode_bytes(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Runs of byte pieces are read as UTF-8, bad ones replaced; the space that encoding puts first goes again."""
+        if self.silent.isdisjoint(ids):  # nothing but pieces ends a run of bytes, and they are valid themselves
+            whole = b"".join(map(self.utf8.__getitem__, ids)).decode("utf-8", "replace")
+            return whole.replace(SPACE, " ").removeprefix(" ")
         out, run = [], bytearray()
         for i in ids:
             if i in self.byte_of:
