@@ -260,6 +260,23 @@ def test_main_text_rows(spark):
     assert main_text.main_text(frame.limit(0)).count() == 0
 
 
+def test_main_text_by_the_whole_host(spark):
+    def page(i, k=1, foot="Contact us at once"):
+        return f"<body><div>Welcome to the site</div><h2>Title {i}</h2>" + "".join(f"<p>text {i} {n} is long enough</p>" for n in range(k)) + f"<div>{foot}</div>"
+
+    rows = [("plain.com", page(i, 1500 if i % 5 == 0 else 3, "Other words at the end" if i % 4 == 0 else "Contact us at once")) for i in range(40)]
+    rows += [("article.com", f"<article><p>Share it now</p><h1>Head {i}</h1><p>own words {i}</p><p>more of {i}</p></article>") for i in range(6)]
+    near = "<h2>One title</h2><div>shared words that are an article</div><h3>And more of them here</h3><section>Third long part</section><div>edit {}</div>"
+    rows += [("near.com", near.format(i)) for i in range(2)]
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(rows)], "page_id bigint, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"].split("\n") for r in main_text.main_text(frame).collect()}
+    for i in range(40):
+        assert got[i] == [f"Title {i}", *[f"text {i} {n} is long enough" for n in range(1500 if i % 5 == 0 else 3)]]
+    for i in range(6):
+        assert got[40 + i] == [f"Head {i}", f"own words {i}", f"more of {i}"]
+    assert [len(got[46]), got[46][1]] == [5, "shared words that are an article"]
+
+
 def test_url_rules_and_templates(spark):
     rows = ["http://a.ORG/x", "https://www.example.org/es/1", "http://example.org/en/17?x", "http://example.org/en/27", "ftp://x.com/de/1", "ftp://x.com/fr/1", "http://xcom/de/1", None, "nothing", "http://org", "http://a.net"]
     frame = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string").withColumn("verdict", F.lit("clash"))

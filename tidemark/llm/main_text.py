@@ -1,12 +1,15 @@
 """Main text of web pages, with a wrapper for each host.
 
-A wrapper is a union-free regular expression over the tokens of a host's pages: start and end tags, fixed texts, text
-slots, optional and repeated groups. It is inferred by aligning page after page with the expression so far. Fixed texts
-outside the article are the host's own, not the page's; slots of a list that is mostly links are menus.
+A wrapper is a union-free regular expression over the layout of a host's pages: tags of blocks, fixed texts, text slots,
+optional and repeated groups. All pages of a host are folded into it, pages of one shape first, then shape after shape, in
+each task and then over tasks. Every page is matched against its host's wrapper: a text at a single place that counts over
+all pages of the host confirm is the host's own; other slots and groups are the page's, and lists of element kinds only say
+which of them are no main text. A repeated group that is mostly links is a menu.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -14,17 +17,25 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, fresh, importable, slices
 from tidemark.llm.url_templates import host_of
 
-#: Pages of a host that its wrapper is inferred from, those of the lowest hash of their id; tokens of each, and of a repeated unit, at most.
-SAMPLE_PAGES, MOST_TOKENS, MOST_UNIT = 8, 4000, 12
+#: Items of a repeated unit at most.
+MOST_UNIT = 12
+#: Share of a host's different pages, and their number where it has so many, that must have a text at a single place to confirm it as the host's own.
+LEAST_SHARE, LEAST_PAGES = 0.1, 3
+#: Share of the texts of one path that must be so frequent; else it is a slot of the page's own texts, a title for one, of which some are equal.
+LEAST_OF_PATH = 0.5
+#: Long texts that tell whether two pages differ: most of them must.
+TELLING = 3
+#: Shapes of a host and hosts that a task holds before it folds or writes them.
+HELD_SHAPES, HELD_HOSTS = 256, 2000
 
-#: Sampled ids, and characters of all templates, that are broadcast at most; beyond these the pages are shuffled.
-MOST_SAMPLED, MOST_TEMPLATE_CHARS = 500_000, 16_000_000
+#: Characters of all templates that are broadcast at most; beyond these the pages are shuffled.
+MOST_TEMPLATE_CHARS = 16_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*(?:>|$)", re.I) for t in ("script", "style", "textarea", "noscript", "template", "iframe", "svg", "xmp")}
@@ -82,8 +93,15 @@ def _noisy(tag: str, attributes: str) -> tuple[bool, str]:
 
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], bool]:
     """(path, text, noise, in main, link) of each run of text that no block boundary splits, a link apart; and whether the page has an article or main element."""
+    found, has_main, _ = layout(page)
+    return found, has_main
+
+
+def layout(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], bool, list[tuple]]:
+    """What blocks gives, and the tags of blocks, all closed, with ("text", [number of a run]) between them."""
     stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, in main
     out: list[tuple[str, str, bool, bool, bool]] = []
+    items: list[tuple] = []
     buffer: list[tuple[str, bool]] = []
     state, has_main = ("", "", False, False), False
 
@@ -92,11 +110,13 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], bool]:
             text = " ".join("".join(x for x, _ in buffer).split())
             if text:
                 links = sum(len(x) for x, link in buffer if link)
+                items.append(("text", [len(out)]))
                 out.append((state[1], text, state[2], state[3], 2 * links > len(text)))
             buffer.clear()
 
     def pop(k: int) -> None:
         nonlocal state
+        items.extend(("tag", "/" + tag) for tag, *_ in reversed(stack[k:]) if tag in BLOCK)
         del stack[k:]
         state = stack[-1] if stack else ("", "", False, False)
 
@@ -148,32 +168,27 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], bool]:
             state = (what, f"{state[1]}/{name}", state[2] or noise, state[3] or main)
         else:
             state = (what, *state[1:])
+        if what in BLOCK:
+            items.append(("tag", what))
         stack.append(state)
     flush()
-    return out, has_main
+    pop(0)
+    return out, has_main, items
 
 
 # wrappers: an expression is a list of items ("tag", name), ("text", fixed text or None), ("repeat", items) and ("optional", items)
 
 
 def page_items(page: str) -> list[tuple]:
-    """The tokens of a page as items, repeated units folded."""
-    out: list[tuple] = []
-    for kind, what, _ in tokens(page):
-        if kind == "text":
-            if text := " ".join(what.split()):
-                out.append(("text", text))
-        else:
-            out.append(("tag", what if kind == "start" else "/" + what))
-        if len(out) >= MOST_TOKENS:
-            break
-    return fold(out)
+    """The layout of a whole page as items, repeated units folded."""
+    found, _, items = layout(page)
+    return fold([(kind, found[v[0]][1]) if kind == "text" else (kind, v) for kind, v in items])
 
 
 def shape(item: tuple):
     """What two items must share to stand for each other; a text stands for any text."""
     kind, value = item
-    return (kind,) if kind == "text" else (kind, value) if kind == "tag" else (kind, tuple(map(shape, value)))
+    return "" if kind == "text" else value if kind == "tag" else (kind, tuple(map(shape, value)))
 
 
 def general(a: tuple, b: tuple) -> tuple:
@@ -183,59 +198,108 @@ def general(a: tuple, b: tuple) -> tuple:
     return a if a[0] == "tag" else (a[0], [general(x, y) for x, y in zip(a[1], b[1])])
 
 
-def fold(items: list[tuple]) -> list[tuple]:
+def together(a: tuple, b: tuple) -> tuple:
+    """As general, where the texts are lists of runs: both."""
+    if a[0] == "text":
+        return "text", a[1] + b[1]
+    return a if a[0] == "tag" else (a[0], [together(x, y) for x, y in zip(a[1], b[1])])
+
+
+def fold(items: list[tuple], join=general) -> list[tuple]:
     """Adjacent units of one shape become one repeated group, short units first."""
+    shapes = [shape(x) for x in items]
     for size in range(1, MOST_UNIT + 1):
-        shapes, out, i = [shape(x) for x in items], [], 0
+        if not any(a == b for a, b in zip(shapes, shapes[size:])):
+            continue
+        out, new, i = [], [], 0
         while i < len(items):
-            n = 1
-            unit = shapes[i : i + size]
-            if len(unit) == size and not (size == 1 and unit[0][0] != "tag"):
+            n, first = 1, shapes[i]
+            if i + size < len(items) and first == shapes[i + size] and not isinstance(first, tuple) and not (size == 1 and first == ""):
+                unit = shapes[i : i + size]
                 while shapes[i + n * size : i + (n + 1) * size] == unit:
                     n += 1
-            if n > 1 and unit[0][0] != "repeat":
+            if n > 1:
                 body = items[i : i + size]
                 for k in range(1, n):
-                    body = [general(x, y) for x, y in zip(body, items[i + k * size : i + (k + 1) * size])]
+                    body = [join(x, y) for x, y in zip(body, items[i + k * size : i + (k + 1) * size])]
                 out.append(("repeat", body))
+                new.append(("repeat", tuple(unit)))
                 i += n * size
             else:
                 out.append(items[i])
+                new.append(first)
                 i += 1
-        items = out
+        items, shapes = out, new
     return items
 
 
-def align(wrapper: list[tuple], page: list[tuple]) -> list[tuple]:
-    """The expression that takes both: equal shapes meet, one more copy joins its repeated group, the rest is optional."""
-    a, b, out = [shape(("optional", x[1])) if x[0] == "optional" else shape(x) for x in wrapper], [shape(x) for x in page], []
-    for tag, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+def flat(wrapper: list[tuple]) -> list[tuple[tuple, bool]]:
+    """(item, optional) without the optional groups."""
+    return [p for x in wrapper for p in ([(y, True) for y in x[1]] if x[0] == "optional" else [(x, False)])]
+
+
+def grouped(items: list[tuple[tuple, bool]], bodies: set[tuple]) -> list[tuple[tuple, bool]]:
+    """Single copies of units that are repeated elsewhere become repeated groups too."""
+    shapes = [shape(x) for x, _ in items]
+    for body in sorted(bodies, key=lambda b: (-len(b), repr(b))):
+        out, new, i, n = [], [], 0, len(body)
+        while i < len(items):
+            if shapes[i] == body[0] and tuple(shapes[i : i + n]) == body:
+                part = items[i : i + n]
+                out.append((("repeat", [x for x, _ in part]), any(o for _, o in part)))
+                new.append(("repeat", body))
+                i += n
+            else:
+                out.append(items[i])
+                new.append(shapes[i])
+                i += 1
+        items, shapes = out, new
+    return items
+
+
+def bodies(items: list[tuple[tuple, bool]]) -> set[tuple]:
+    return {shape(x)[1] for x, _ in items if x[0] == "repeat"}
+
+
+def meet(a: list[tuple[tuple, bool]], b: list[tuple[tuple, bool]]) -> list[tuple[tuple, bool]]:
+    out: list[tuple[tuple, bool]] = []
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, [shape(x) for x, _ in a], [shape(x) for x, _ in b], autojunk=False).get_opcodes():
+        old, new = a[i1:i2], b[j1:j2]
         if tag == "equal":
-            out += [general(x, y) for x, y in zip(wrapper[i1:i2], page[j1:j2])]
-            continue
-        old, new = wrapper[i1:i2], page[j1:j2]
-        if len(old) == 1 and old[0][0] == "optional" and [shape(x) for x in old[0][1]] == b[j1:j2]:
-            out.append(("optional", [general(x, y) for x, y in zip(old[0][1], new)]))
-            continue
-        if len(old) == 1 and old[0][0] == "repeat" and [shape(x) for x in old[0][1]] == b[j1:j2]:
-            out.append(("repeat", [general(x, y) for x, y in zip(old[0][1], new)]))
+            out += [(general(x, y), o or p) for (x, o), (y, p) in zip(old, new)]
             continue
-        if len(new) == 1 and new[0][0] == "repeat" and [shape(x) for x in new[0][1]] == a[i1:i2]:
-            out.append(("repeat", [general(x, y) for x, y in zip(old, new[0][1])]))
-            continue
-        for part in (old, new):
-            if part:
-                out += part if all(x[0] == "optional" for x in part) else [("optional", part)]
+        more, less = grouped(old, bodies(new)), grouped(new, bodies(old))
+        if len(more) < len(old) or len(less) < len(new):
+            out += meet(more, less)
+        else:
+            out += [(x, True) for x, _ in old + new]
+    return out
+
+
+def align(wrapper: list[tuple], page: list[tuple]) -> list[tuple]:
+    """The expression that takes both, two wrappers or a wrapper and a page: equal shapes meet, one more copy joins its repeated group, the rest is optional."""
+    out = meet(flat(wrapper), flat(page))
+    made: list[tuple] = []
+    for x, optional in out:
+        if optional and made and made[-1][0] == "optional":
+            made[-1][1].append(x)
+        else:
+            made.append(("optional", [x]) if optional else x)
+    return made
+
+
+def combined(parts: list[list[tuple]]) -> list[tuple]:
+    """One expression for all, whatever their order."""
+    parts = sorted(parts, key=lambda w: (-len(w), repr(w)))
+    out = parts[0] if parts else []
+    for w in parts[1:]:
+        out = align(out, w)
     return out
 
 
 def infer(pages: list[str]) -> list[tuple]:
     """The wrapper of a host's pages, equal pages once."""
-    own = list(dict.fromkeys(pages))
-    out = page_items(own[0]) if own else []
-    for p in own[1:]:
-        out = align(out, page_items(p))
-    return out
+    return combined([page_items(p) for p in dict.fromkeys(pages)])
 
 
 def fixed_texts(wrapper: list[tuple]) -> list[str]:
@@ -243,6 +307,54 @@ def fixed_texts(wrapper: list[tuple]) -> list[str]:
     return [v for k, v in wrapper if k == "text" and v is not None]
 
 
+def text_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def placed(run: tuple) -> int:
+    """What stands for the text of a run at its path."""
+    return text_hash(f"{run[0]}\0{run[1]}")
+
+
+def runs_of(item: tuple) -> list[int]:
+    """The runs of an item whose texts are lists of runs."""
+    return list(item[1]) if item[0] == "text" else [] if item[0] == "tag" else [r for x in item[1] for r in runs_of(x)]
+
+
+class Template:
+    """A host's wrapper and the hashes of its confirmed texts."""
+
+    def __init__(self, wrapper: list[tuple], confirmed: frozenset[int]):
+        self.items, self.confirmed = flat(wrapper), confirmed
+        self.shapes = [shape(x) for x, _ in self.items]
+        self.known: dict[tuple, list[bool]] = {}
+
+    def matched(self, shapes: tuple) -> list[bool]:
+        """Which items of a page of these shapes have a place in the wrapper."""
+        if shapes not in self.known:
+            if len(self.known) > HELD_SHAPES:
+                self.known.clear()
+            hit = [False] * len(shapes)
+            for _, j, n in SequenceMatcher(None, self.shapes, list(shapes), autojunk=False).get_matching_blocks():
+                hit[j : j + n] = [True] * n
+            self.known[shapes] = hit
+        return self.known[shapes]
+
+    def extract(self, page: str | None) -> str:
+        """The main text: slots and groups of the wrapper, and what it has no place for, without the kinds of elements that are no main text. Where the page has an article or main element, those within one."""
+        found, has_main, items = layout(page or "")
+        own = fold(items, together)
+        keep: set[int] = set()
+        for item, hit in zip(own, self.matched(tuple(map(shape, own)))):
+            runs = [r for r in runs_of(item) if not found[r][2] and (found[r][3] or not has_main)]
+            if item[0] == "text" and hit and runs and placed(found[runs[0]]) in self.confirmed:
+                continue
+            if not has_main and 2 * sum(len(found[r][1]) for r in runs if found[r][4]) > sum(len(found[r][1]) for r in runs):
+                continue
+            keep.update(runs)
+        return "\n".join(run[1] for r, run in enumerate(found) if r in keep)
+
+
 def extract(page: str | None, template: frozenset[str] = frozenset()) -> str:
     """The main text. With an article or main element, what lies within one; else all that is neither noise, of the template, nor a list of links."""
     found, has_main = blocks(page or "")
@@ -251,51 +363,101 @@ def extract(page: str | None, template: frozenset[str] = frozenset()) -> str:
     return "\n".join(text for _, text, noise, _, link in found if not noise and not link and text not in template)
 
 
-def wrappers(pages: DataFrame, id_col: str, url_col: str, html_col: str, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, wrapper, template): the expression as JSON, and its fixed texts; hosts of two sampled pages or more."""
-    light = pages.select(host_of(F.col(url_col)).alias("host"), F.col(id_col).alias("id"), F.xxhash64(id_col, url_col).alias("h")).filter("id IS NOT NULL")
-    first = Window.partitionBy("host").orderBy("h", "id")
-    chosen = light.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample).select("host", "id").distinct()  # limited in each task before the shuffle
-    chosen = checkpointed(chosen)
-    few = F.broadcast(chosen) if chosen.count() <= MOST_SAMPLED else chosen
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(few, "id").filter(F.col("html").isNotNull())
+def statistics(page: str, found: list[tuple], folded: list[tuple]) -> list[tuple[int, int, int, int]]:
+    """(path, text of the path, k, telling) of the texts at single places of a page, and of 0 and 0, which stand for the page: the k-th of its long texts but that one."""
+    hashes = [text_hash(run[1]) for run in found]
+    longest = sorted({(-len(run[1]), h) for run, h in zip(found, hashes) if not run[2] and not run[4]})[: TELLING + 1]
+    whole = text_hash(" ".join(map(str, hashes)))
+    out = []
+    for r in [None, *(x[1][0] for x in folded if x[0] == "text")]:
+        path, t = (0, 0) if r is None else (text_hash(found[r][0]), placed(found[r]))
+        telling = [h for _, h in longest if r is None or h != hashes[r]][:TELLING]
+        out += [(path, t, k, telling[k] if k < len(telling) else whole) for k in range(TELLING)]
+    return out
+
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        own = sorted(set(group["html"]))[:sample]
-        if len(own) < 2:
-            return pd.DataFrame({"host": [], "wrapper": [], "template": []}, dtype=str)
-        w = infer(own)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(w, ensure_ascii=False)], "template": [json.dumps(fixed_texts(w), ensure_ascii=False)]})
+def wrappers(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """(host, wrapper, confirmed): the expression of all pages of each host as JSON, and the hashes of its confirmed texts.
 
-    return rows.groupBy("host").applyInPandas(one, "host string, wrapper string, template string")
+    A text is confirmed by the number of different pages that have it: for each of its pages, what other long texts stand
+    there is counted by value, so that near copies count once. Hosts are folded in each task, so that a large one is dealt.
+    """
+    light = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html")).filter("html IS NOT NULL")
+    names = ["host", "wrapper", "path", "t", "k", "telling"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
+    def scan(batches):
+        held: dict[str, dict[tuple, list[tuple]]] = {}
+
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
+
+        def partial():
+            return made([(h, json.dumps(combined(list(own.values())), ensure_ascii=False), None, None, None, None) for h, own in held.items()])
+
+        for batch in batches:
+            for part in slices(batch, 1):
+                rows = []
+                for h, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found, _, items = layout(p)
+                    folded = fold(items, together)
+                    rows += [(h, None, *x) for x in statistics(p, found, folded)]
+                    own = held.setdefault(h, {})
+                    texts = fold([(kind, found[v[0]][1]) if kind == "text" else (kind, v) for kind, v in items])
+                    key = tuple(map(shape, texts))
+                    own[key] = [general(x, y) for x, y in zip(own[key], texts)] if key in own else texts
+                    if len(own) > HELD_SHAPES:
+                        w = combined(list(own.values()))
+                        held[h] = {tuple(map(shape, w)): w}
+                yield made(rows)
+                if len(held) > HELD_HOSTS:
+                    yield partial()
+                    held.clear()
+        yield partial()
+
+    rows = checkpointed(light.mapInArrow(scan, "host string, wrapper string, path bigint, t bigint, k int, telling bigint"))
+    place = ["host", "path", "t"]
+    counts = rows.filter("wrapper IS NULL").groupBy(*place, "k", "telling").agg(F.lit(1).alias("x")).groupBy(*place, "k").agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(counts.groupBy(*place).agg(F.sort_array(F.collect_list("n"))[TELLING // 2].alias("n")))
+    least = counts.filter("t = 0 AND n > 1").select("host", F.greatest(F.least(F.lit(LEAST_PAGES), "n"), F.ceil(F.col("n") * LEAST_SHARE)).alias("least"))
+    frequent = counts.filter("t <> 0").join(least, "host").withColumn("often", F.col("n") >= F.col("least"))
+    own = frequent.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("often"), F.col("n"))).alias("sure"), F.collect_list(F.when(F.col("often"), F.col("t"))).alias("ts"))
+    sure = own.filter(F.col("sure") >= LEAST_OF_PATH * F.col("all")).groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("ts"))).alias("confirmed"))
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        w = combined([json.loads(x) for x in group["wrapper"]])
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(w, ensure_ascii=False)]})
+
+    made = rows.filter("wrapper IS NOT NULL").groupBy("host").applyInPandas(merged, "host string, wrapper string")
+    return made.join(sure, "host", "left").select("host", "wrapper", F.coalesce("confirmed", F.array().cast("array<bigint>")).alias("confirmed"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: id, url, text, n_chars. Blocks are joined by line feeds, white space within one is a space.
 
-    A null page counts as empty; pages without a host, or with one page a host, have no wrapper. Repeated rows all stay and
-    equal pages of a host get equal texts; an empty table gives no rows.
+    A null page counts as empty; pages without a host share one wrapper, and a host with one page confirms no text. Repeated
+    rows all stay and equal pages of a host get equal texts; an empty table gives no rows.
     """
     importable(pages.sparkSession)
     host, page, template = fresh(pages, "__host"), fresh(pages, "__html"), fresh(pages, "__template")
-    known = wrappers(pages, id_col, url_col, html_col).select(F.col("host").alias(host), F.col("template").alias(template))
+    known = wrappers(pages, url_col, html_col).select(F.col("host").alias(host), F.to_json(F.struct("wrapper", "confirmed")).alias(template))
     rows = pages.select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), host_of(F.col(f"`{url_col}`")).alias(host), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias(page))
     known = checkpointed(known)
     size = known.agg(F.sum(F.length(template) + F.length(host) + 64)).first()[0] or 0
     rows = rows.join(F.broadcast(known) if size <= MOST_TEMPLATE_CHARS else known, host, "left").select(id_col, url_col, template, page)
 
     def run(batches):
-        texts: dict[str | None, frozenset[str]] = {None: frozenset()}
+        templates: dict[str | None, Template] = {}
         for batch in batches:
             for part in slices(batch, 3):
                 got = []
                 for t, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    if t not in texts:
-                        if len(texts) > 1000:
-                            texts.clear()
-                            texts[None] = frozenset()
-                        texts[t] = frozenset(json.loads(t))
-                    got.append(extract(p, texts[t]))
+                    if t not in templates:
+                        if len(templates) > 1000:
+                            templates.clear()
+                        own = json.loads(t) if t else {"wrapper": "[]", "confirmed": []}
+                        templates[t] = Template([tuple(x) for x in json.loads(own["wrapper"])], frozenset(own["confirmed"]))
+                    got.append(templates[t].extract(p))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     fields = [rows.schema[id_col], rows.schema[url_col]]
