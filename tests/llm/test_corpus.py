@@ -277,6 +277,16 @@ def test_main_text_by_the_whole_host(spark):
     assert [len(got[46]), got[46][1]] == [5, "shared words that are an article"]
 
 
+def test_wrapper_of_whole_pages_and_all_shapes():
+    page = "<body><div>Welcome here</div><h2>{0}</h2>{1}<div>Contact us at once</div>"
+    pages = [page.format(f"Title {i}", "".join(f"<{t}>x {i} {k}</{t}>" for k in range(2500))) for i, t in enumerate(("p", "section", "h3", "p", "h4", "h5", "p", "h6", "pre", "address"))]
+    assert len(main_text.page_items(pages[0])) < 20
+    whole = main_text.infer(pages)
+    assert main_text.fixed_texts(whole) == ["Welcome here", "Contact us at once"]
+    parts = [main_text.infer(pages[k::3]) for k in range(3)]
+    assert main_text.fixed_texts(main_text.combined(parts)) == main_text.fixed_texts(whole)
+
+
 def test_url_rules_and_templates(spark):
     rows = ["http://a.ORG/x", "https://www.example.org/es/1", "http://example.org/en/17?x", "http://example.org/en/27", "ftp://x.com/de/1", "ftp://x.com/fr/1", "http://xcom/de/1", None, "nothing", "http://org", "http://a.net"]
     frame = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string").withColumn("verdict", F.lit("clash"))
