@@ -305,6 +305,19 @@ def test_bad_template_is_rejected(spark):
     assert got["/ads/777"] == (None, "block") and got["/news/777"] == (None, "allow")
 
 
+def url_verdicts(spark, urls, rules):
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    return {r["host"] + r["path"]: (r["verdict"], r["purity"]) for r in url_templates.filter_urls(frame, rules=rules).collect()}
+
+
+def test_unlabelled_branches_inherit(spark):
+    rules = (url_templates.Rule("bad.com", "/x/ads/1", False), url_templates.Rule("good.com", "/", True))
+    urls = [f"http://bad.com/x/ads/{n}" for n in range(100, 150)] + [f"http://good.com/a/{n}" for n in range(50)]
+    got = url_verdicts(spark, [*urls, "http://bad.com/x/other/name", "http://bad.com/top", "http://new.com/top"], rules)
+    assert got["bad.com/x/other/name"][0] == got["bad.com/top"][0] == "block" and got["bad.com/top"][1] > 0.9
+    assert got["new.com/top"] == ("allow", pytest.approx((0 + 2 * 51 / 102) / (0 + 2)))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -1,8 +1,9 @@
 """URL filter by rules and by a tree of path templates learned from what the rules decide.
 
-Each host's paths are cut into segments; variable ones become wildcards, by their form or because a branch has too many of
-them. Sibling templates that the labels cannot tell from their parent are merged, and templates that the labels call bad,
-by smoothed purity, are rejected.
+Each host's paths are cut into segments, all of them, and those that are variable by their form become wildcards. At every
+level of the tree, hosts included, a branch stands apart if its labels differ from those of its siblings; all others are
+merged with their parent. A url has the smoothed purity of the deepest branch above it that stands apart and has labels
+of its own, and is rejected if that is bad.
 """
 
 from __future__ import annotations
@@ -12,13 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh
+from tidemark.llm.common import checkpointed, fresh
 
-#: Segments of a template; what lies deeper is one "**".
-LEVELS = 3
-#: Children of a branch beyond which they become one wildcard.
-MOST_CHILDREN = 30
-#: Weight of the prior in a purity, purity from which a template is rejected, labelled urls that this takes, z of the merging test.
+#: Weight of the prior in a purity, purity from which a template is rejected, labelled urls that this and standing apart take, z of the merging test.
 PRIOR_WEIGHT, REJECT, LEAST_LABELLED, SIMILAR_Z = 2.0, 0.8, 5, 1.96
 
 
@@ -66,67 +63,63 @@ def general(segment: Column) -> Column:
     return F.when(variable, F.concat(F.lit("*"), end)).otherwise(segment)
 
 
-def segments(path: Column) -> list[Column]:
-    """LEVELS columns, null beyond the path's end; the last is "**" where the path goes on."""
-    parts = F.split(F.substr(path, F.lit(2), F.length(path)), "/")
-    out = []
-    for k in range(LEVELS):
-        own = F.get(parts, F.lit(k))
-        seg = F.when(own.isNotNull(), general(own))
-        out.append(F.when(F.size(parts) > LEVELS, "**").otherwise(seg) if k == LEVELS - 1 else seg)
-    return out
-
-
-def templates(branches: DataFrame) -> DataFrame:
-    """branches (host, s0.. , n, bad) with a template and its parent: segments of a branch with too many children are wildcards. All tables here have a row a template, not a url."""
-    levels = [f"s{k}" for k in range(LEVELS)]
-    t = branches
-    for k in range(LEVELS):
-        t = t.withColumn(f"t{k}", F.coalesce(f"s{k}", F.lit("")))
-    done = ["host"]
-    for k in range(LEVELS):
-        wide = t.groupBy(*done, f"t{k}").agg(F.lit(1).alias("x")).groupBy(*done).agg(F.count(F.lit(1)).alias("children")).filter(F.col("children") > MOST_CHILDREN)
-        t = t.join(wide, done, "left").withColumn(f"t{k}", F.when(F.col("children").isNotNull() & (F.col(f"t{k}") != ""), F.lit("*")).otherwise(F.col(f"t{k}"))).drop("children")
-        done.append(f"t{k}")
-    shown = F.concat(*[F.when(F.col(f"s{k}").isNotNull(), F.concat(F.lit("/"), F.col(f"t{k}"))).otherwise(F.lit("")) for k in range(LEVELS)])
-    last = F.regexp_replace(shown, "/[^/]*$", "")
-    return t.select("host", *levels, "n", "bad", shown.alias("template"), last.alias("parent"))
+def template_of(path: Column) -> Column:
+    """All segments in their general form."""
+    return F.concat(F.lit("/"), F.array_join(F.transform(F.split(F.substr(path, F.lit(2), F.length(path)), "/"), general), "/"))
+
+
+def branches_above(template: Column) -> Column:
+    """The branches of a template from the host's root to itself, as hashes."""
+    return F.aggregate(F.split(F.substr(template, F.lit(2), F.length(template)), "/"), F.array(F.lit(0).cast("long")), lambda acc, s: F.array_append(acc, F.xxhash64(F.element_at(acc, -1), s)))
+
+
+def told_apart(n: Column, bad: Column, other_n: Column, other_bad: Column) -> Column:
+    """Whether the rates of two groups of labels differ, both smoothed; false where one of them is too small."""
+    p, q, all_ = (bad + 0.5) / (n + 1), (other_bad + 0.5) / (other_n + 1), (bad + other_bad + 1) / (n + other_n + 2)
+    z = F.abs(p - q) / F.sqrt(all_ * (1 - all_) * (1 / F.greatest(n, F.lit(1)) + 1 / F.greatest(other_n, F.lit(1))))
+    return (n >= LEAST_LABELLED) & (other_n > 0) & (z >= SIMILAR_Z)
 
 
 def judged_templates(known: DataFrame) -> DataFrame:
-    """(host, s0.., template, purity, rejected) of all branches. known: host, s0.., label (1 bad, 0 good, null)."""
-    levels = [f"s{k}" for k in range(LEVELS)]
-    branches = known.groupBy("host", *levels).agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("bad"))
-    tree = templates(branches)
-    own = tree.groupBy("host", "parent", "template").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    parents = own.groupBy("host", "parent").agg(F.sum("n").alias("pn"), F.sum("bad").alias("pbad"))
-    prior = own.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("prior"))  # one row
-    # the rate of a branch against its parent's, both smoothed; too close to tell apart means merged
-    p, q = (F.col("bad") + 0.5) / (F.col("n") + 1), (F.col("pbad") + 0.5) / (F.col("pn") + 1)
-    z = F.abs(p - q) / F.sqrt(q * (1 - q) / F.greatest(F.col("n"), F.lit(1)))
-    tested = own.join(parents, ["host", "parent"]).withColumn("merged", z < SIMILAR_Z)
-    pooled = tested.filter("merged").groupBy("host", "parent").agg(F.sum("n").alias("mn"), F.sum("bad").alias("mbad"))
-    both = tested.join(pooled, ["host", "parent"], "left").crossJoin(F.broadcast(prior))
-    n, bad = F.when(F.col("merged"), F.col("mn")).otherwise(F.col("n")), F.when(F.col("merged"), F.col("mbad")).otherwise(F.col("bad"))
+    """(host, template, purity, rejected) of all templates. known: host, template, label (1 bad, 0 good, null)."""
+    own = checkpointed(known.groupBy("host", "template").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("bad")))
+    total = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("all_bad"))  # one row
+    lists = own.withColumn("above", branches_above(F.col("template")))
+
+    # labels of every branch that may stand apart, and of its parent; the parent of a host is the whole table
+    paths = lists.filter("n > 0").select("host", "n", "bad", F.posexplode("above").alias("depth", "branch"), "above")
+    nodes = paths.select("host", "depth", "branch", F.when(F.col("depth") > 0, F.get("above", F.col("depth") - 1)).alias("parent"), "n", "bad")
+    nodes = checkpointed(nodes.groupBy("host", "depth", "branch", "parent").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(F.col("n") >= LEAST_LABELLED))
+    parents = nodes.select("host", (F.col("depth") + 1).alias("depth"), F.col("branch").alias("parent"), F.col("n").alias("pn"), F.col("bad").alias("pbad"))
+    tested = nodes.join(parents, ["host", "depth", "parent"], "left").crossJoin(F.broadcast(total))
+    pn, pbad = F.coalesce("pn", "all_n"), F.coalesce("pbad", "all_bad")
+    apart = checkpointed(tested.filter(told_apart(F.col("n"), F.col("bad"), pn - F.col("n"), pbad - F.col("bad"))).select("host", "depth", "branch"))
+
+    # each label counts for the deepest branch above it that stands apart, or else for the whole table
+    above = checkpointed(lists.select("host", "template", "n", "bad", F.posexplode("above").alias("depth", "branch")).join(apart, ["host", "depth", "branch"]))
+    deepest = above.groupBy("host", "template").agg(F.max(F.struct("depth", "branch", "n", "bad")).alias("m")).select("host", "m.*")
+    pools = checkpointed(deepest.groupBy("host", "depth", "branch").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter("n > 0"))
+    held = pools.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("held_n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("held_bad"))
+    rest = total.crossJoin(held).select((F.col("all_n") - F.col("held_n")).alias("rest_n"), (F.col("all_bad") - F.col("held_bad")).alias("rest_bad"), ((F.col("all_bad") + 1) / (F.col("all_n") + 2)).alias("prior"))
+    judges = above.select("host", "template", "depth", "branch").join(pools, ["host", "depth", "branch"])
+    judges = judges.groupBy("host", "template").agg(F.max(F.struct("depth", "n", "bad")).alias("m")).select("host", "template", F.col("m.n").alias("jn"), F.col("m.bad").alias("jbad"))
+    both = own.select("host", "template").join(judges, ["host", "template"], "left").crossJoin(F.broadcast(rest))
+    n, bad = F.coalesce("jn", "rest_n"), F.coalesce("jbad", "rest_bad")
     purity = (bad + PRIOR_WEIGHT * F.col("prior")) / (n + PRIOR_WEIGHT)
-    verdicts = both.select("host", "template", purity.alias("purity"), ((purity >= REJECT) & (n >= LEAST_LABELLED)).alias("rejected"))
-    return tree.select("host", *levels, "template").join(verdicts, ["host", "template"])
+    return both.select("host", "template", purity.alias("purity"), ((purity >= REJECT) & (n >= LEAST_LABELLED)).alias("rejected"))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row a page: id, host, path, rule (null where none fits), verdict, template, purity.
 
     A null url or one without :// has an empty host and path and the verdict of their template. Labels are the rules' own
-    decisions; without any, everything is allowed. Repeated rows count and are judged each; an empty table gives no rows.
+    decisions; without any, everything is allowed. Purity is that of the branch that decides the template. Repeated rows count and are judged each; an empty table gives no rows.
     """
-    levels = [f"s{k}" for k in range(LEVELS)]
     url = fresh(pages, "__url")
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias(url))
     rows = rows.select("id", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, allow = matched_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "allow": allow} | dict(zip(levels, segments(F.col("path")))))
-    found = judged_templates(rows.select("host", *levels, (1 - F.col("allow").cast("int")).alias("label")))
-    found = found.select(*[F.col(c).alias(f"of_{c}") for c in ("host", *levels)], "template", "purity", "rejected")
-    on = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in ("host", *levels)]
+    rows = rows.withColumns({"rule": rule, "allow": allow, "template": template_of(F.col("path"))})
+    found = judged_templates(rows.select("host", "template", (1 - F.col("allow").cast("int")).alias("label")))
     verdict = F.when(F.col("allow").isNotNull(), F.when(F.col("allow"), "allow").otherwise("block")).when(F.col("rejected"), "block").otherwise("allow")
-    return rows.join(found, on, "left").select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+    return rows.join(found, ["host", "template"], "left").select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
