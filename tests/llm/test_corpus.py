@@ -318,6 +318,15 @@ def test_unlabelled_branches_inherit(spark):
     assert got["new.com/top"] == ("allow", pytest.approx((0 + 2 * 51 / 102) / (0 + 2)))
 
 
+def test_wide_and_deep_branches_stay_apart(spark):
+    rules = (url_templates.Rule("w.com", "/de/", False), url_templates.Rule("w.com", "/fr/", True), url_templates.Rule("w.com", "/d/e/e/p/bad/", False), url_templates.Rule("w.com", "/d/e/e/p/good/a", True))
+    urls = [f"http://w.com/de/{n}" for n in range(300)] + [f"http://w.com/fr/{n}" for n in range(10)] + [f"http://w.com/s{chr(97 + n % 26)}{chr(97 + n // 26)}/page" for n in range(40)]
+    urls += [f"http://w.com/d/e/e/p/{k}/a{n}" for k in ("bad", "good") for n in range(10)] + ["http://w.com/d/e/e/p/good/other"]
+    got = url_verdicts(spark, urls, rules)
+    assert got["w.com/saa/page"][0] == "allow" and got["w.com/de/7"][1] > 0.9 and got["w.com/fr/7"][1] < 0.3
+    assert got["w.com/d/e/e/p/good/other"][0] == "allow" and got["w.com/d/e/e/p/bad/a1"][1] > 0.8 > 0.3 > got["w.com/d/e/e/p/good/a1"][1]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
