@@ -224,6 +224,17 @@ def test_surrogates(spark):
     assert digits and made[1].count(".example.org") == 2
 
 
+def test_hint_covers_every_entity(spark):
+    whole = ["AKIA" + "QWERTZUIOPASDFGH", "ASIA" + "QWERTZUIOPASDFGH", *(f"gh{c}_" + "abcdefghijklmnopqrst" for c in "pousr"), "sk-" + "abcdefghijKLMNOPQRST", "abcdef" * 6, "ab:cd:ef:AB:CD:EF", "a:b:c:d:e:f:ab:cd", "abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd", "token=abcdefgh", 'secret: "abcdefgh', "password = abcdefgh", "api_key:abcdefgh", "a@b.org", "Mrs Smith", "Sra. Gómez", "г-жа Петрова", "Κύριος Παππάς", "1.2.3.4", "DE12 3456 7890 1234"]
+    rows = [(i, f"words {x} end") for i, x in enumerate(whole)] + [(100, "plain words: and more, no entity-like text")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = frame.select("doc_id", surrogates.hinted(F.col("text")).alias("h"), F.expr("text").rlike(surrogates.ANY).alias("any")).collect()
+    assert all(r["h"] for r in got if r["any"]) and sum(r["any"] for r in got) >= len(whole) - 1
+    assert [r["h"] for r in got if r["doc_id"] == 100] == [False]
+    made = {r["doc_id"]: r["text"] for r in surrogates.replace_personal_data(frame, "k").collect()}
+    assert all(x not in made[i] for i, x in enumerate(whole[:12]))
+
+
 def test_surrogate_collisions_are_redrawn(spark, monkeypatch):
     first = surrogates.Keyed.stream
     monkeypatch.setattr(surrogates.Keyed, "stream", lambda self, kind, normal, nonce: F.when(nonce == 0, first(self, F.lit("k"), F.lit("one"), nonce)).otherwise(first(self, kind, normal, nonce)))

@@ -50,11 +50,14 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _KEYS = ("token", "secret", "password", "api_key")
+#: Entities that may have neither a digit nor any of the other hints.
+_LETTERS_ONLY = rf"A[KS]IA[0-9A-Z]{{16}}|gh[pousr]_|sk-[0-9A-Za-z]{{20}}|{_HEX}{{32}}|{_HEX}:{_HEX}{{1,4}}:"
 
 
 def hinted(text: Column) -> Column:
     """False for texts that cannot hold an entity; far cheaper than the full pattern."""
     out = text.rlike("[0-9@]") | text.rlike(rf"(?=[MFHSГгΚ])(?<!\p{{L}}){_TITLE}")
+    out = out | text.rlike(_LETTERS_ONLY)
     for k in _KEYS:
         out = out | F.contains(text, F.lit(k))
     return out
