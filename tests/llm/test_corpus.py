@@ -112,6 +112,15 @@ def test_bitmask_filter_counts():
     assert f.predict(None) == ("und", 0.0) and f.predict("12 !")[0] == "und"
 
 
+def test_more_languages_than_bits(spark):
+    rows = [(70 * i + n, f"{chr(0x4E00 + 40 * n)}{chr(0x4E01 + 40 * n)}{chr(0x4E02 + 40 * n)} " * 5, f"l{n:02}") for i in range(3) for n in range(70)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(frame)
+    assert len(model.languages) == 70 and model.slots.ndim == 2
+    got = langid.identify(frame, model, ["doc_id", "lang"]).collect()
+    assert len(got) == 210 and all(r["lang_pred"] == r["lang"] for r in got)
+
+
 def test_quality_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = QUERIES["op9_quality_model"](spark, SF).join(labels, "doc_id").filter("held_out").collect()

@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts
+from tidemark.llm.common import checkpointed, map_texts
 
 SIZES = (2, 3, 4)
-#: Texts of each language that the fit takes at most, about; the languages; the n-grams of each.
-MOST_TEXTS, MOST_LANGUAGES, MOST_GRAMS = 2000, 64, 20_000
+#: Texts of each language that the fit takes at most, about; the n-grams of each.
+MOST_TEXTS, MOST_GRAMS = 2000, 20_000
 #: An n-gram counts for a language when it is in this share of its texts, and in that share of the most of any language.
 LEAST_SHARE, LEAST_OF_BEST = 0.01, 0.3
 SLOTS_PER_GRAM, HASHES = 12, 2
@@ -53,7 +53,7 @@ def grams(text: str | None) -> np.ndarray:
 @dataclass(frozen=True)
 class BitmaskFilter:
     languages: tuple[str, ...]
-    slots: np.ndarray  # one mask of languages a slot
+    slots: np.ndarray  # one mask of languages a slot; beyond 64 languages as many words as it takes
     false_rate: np.ndarray  # of each language
 
     @classmethod
@@ -61,11 +61,13 @@ class BitmaskFilter:
         total = max(1, sum(map(len, members)))
         size = 1 << int(np.ceil(np.log2(SLOTS_PER_GRAM * total)))
         kind = np.uint8 if len(languages) <= 8 else np.uint64
-        slots = np.zeros(size, kind)
+        words = -(-len(languages) // 64)
+        slots = np.zeros((size, words) if words > 1 else size, kind)
         for bit, own in enumerate(members):
             for k in range(HASHES):
-                slots[cls.place(own, k, size)] |= kind(1 << bit)
-        filled = np.array([np.count_nonzero(slots & kind(1 << b)) / size for b in range(len(languages))])
+                at = cls.place(own, k, size)
+                slots[(at, bit // 64) if words > 1 else at] |= kind(1 << bit % 64)
+        filled = np.array([np.count_nonzero((slots[:, b // 64] if words > 1 else slots) & kind(1 << b % 64)) / size for b in range(len(languages))])
         return cls(languages, slots, filled**HASHES)
 
     @staticmethod
@@ -87,7 +89,7 @@ class BitmaskFilter:
             by_mask = np.bincount(masks, minlength=256)
             found = np.array([by_mask[(np.arange(256) >> b) & 1 == 1].sum() for b in range(len(self.languages))], float)
         else:
-            found = np.array([np.count_nonzero(masks & np.uint64(1 << b)) for b in range(len(self.languages))], float)
+            found = np.array([np.count_nonzero((masks[:, b // 64] if masks.ndim > 1 else masks) & np.uint64(1 << b % 64)) for b in range(len(self.languages))], float)
         return np.maximum(0, (found - len(h) * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -101,11 +103,11 @@ class BitmaskFilter:
 
 
 def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST_TEXTS) -> BitmaskFilter:
-    """Learns from about `most` texts of each of the most frequent languages, chosen by the hash of their id. The n-grams are counted on the executors."""
+    """Learns from about `most` texts of each language, chosen by the hash of their id. The n-grams are counted on the executors."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
         rows = rows.filter(learn)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     languages = tuple(counts)
     if not languages:
         return BitmaskFilter.build((), [])
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     listed = map_texts(picked, ["lang"], "text", {"grams": "array<bigint>"}, own_grams)
     in_texts = listed.select("lang", F.explode("grams").alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     floors = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(max(2.0, LEAST_SHARE * min(most, n))))])
-    frequent = in_texts.filter(F.col("n") >= floors[F.col("lang")])
+    frequent = checkpointed(in_texts.filter(F.col("n") >= floors[F.col("lang")]))  # read once a language
     shares: list[dict[int, float]] = []
     for k, n in counts.items():
         top = frequent.filter(F.col("lang") == k).orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()
@@ -133,7 +135,7 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
 
 def identify(docs: DataFrame, model: BitmaskFilter, keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns, lang_pred and score of every whole text. Null and letterless texts are "und"; equal texts get equal results; an empty table gives no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 64 languages x 20,000 n-grams x 12 slots of 8 bytes, rounded up to a power of two
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 20,000 n-grams x 12 slots at most, rounded up to a power of two, of 8 bytes for every 64 languages
 
     def step(texts):
         m = shared.value
