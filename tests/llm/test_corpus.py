@@ -89,6 +89,16 @@ def test_near_duplicates_by_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(docs, 4, 80)
 
 
+def test_one_id_with_several_texts_is_one_document(spark):
+    a, b, c = "text a has these five words", "text b is wholly different here", "words of c stand for themselves"
+    rows = [(5, a), (6, a), (7, a), (3, b), (5, b), (7, ""), (8, c), (9, c), (9, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_duplicates.near_duplicates(frame, size=4).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(3, 3, True), *((i, 3, False) for i in (5, 6, 7)), (8, 8, True), (9, 8, False)}
+    assert [r["doc_id"] for r in near_duplicates.deduplicated(frame, size=4).orderBy("doc_id").collect()] == [3, 8]
+
+
 def test_sketch_merges_and_estimates():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**64, 900, np.uint64), rng.integers(0, 2**64, 300, np.uint64)

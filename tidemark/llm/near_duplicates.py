@@ -335,13 +335,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     two = checkpointed(likely(crossing().filter("size = 2").select("a", "b", "weight"), classes, least))
     grown(linked_in_blocks(unsettled, classes, texts, least, size, percent).union(confirmed(two, texts, size, percent)))
 
+    # rows of one id with several texts are one document: their classes are linked
+    several = checkpointed(base.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi")).filter("lo <> hi").select("id"))
+    repeated = not several.isEmpty()
+    if repeated:
+        own = checkpointed(named.join(several, "id").select("id", "key").distinct().join(classes.select("key", "cid"), "key").select("id", "cid"))
+        grown(own.join(own.groupBy("id").agg(F.min("cid").alias("b")), "id").select(F.col("cid").alias("a"), "b").filter("a <> b"))
+
     discard(members, pairs)
     of_class = labelled(classes.select("key", "cid"), labels, "cid", "component").select("key", "component")
     out = base.join(of_class, "key", "left")
+    if repeated:  # a text without words has no class, but its id may have one
+        same = out.join(several, "id").groupBy("id").agg(F.min("component").alias("same"))
+        out = out.join(same, "id", "left").withColumn("component", F.coalesce("same", "component"))
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     if docs.schema[id_col].dataType.typeName() != "long":
         component = component.cast(docs.schema[id_col].dataType)
-    # rows of one id with several texts: the least component of them all
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
