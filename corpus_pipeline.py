@@ -41,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", rules), ("quality model", model), ("near duplicates", dedup), ("personal data", private), ("packing", pack)]
 
-#: The classifier and the tokenizer are beyond SQL; tests hold the stages against plain versions.
+#: The classifier and the tokenizer are beyond SQL; tests hold the rules stage against its operator, and the columns and ids of the others; run() is not tested.
 ORACLE_SQL = None
 
 

@@ -1,9 +1,11 @@
 """Corpus operators: against SQL on the small tables, brute force, round trips, held-out accuracy, and odd inputs."""
 
 import random
+import re
 import struct
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -357,6 +359,65 @@ def test_wide_and_deep_branches_stay_apart(spark):
     assert got["w.com/d/e/e/p/good/other"][0] == "allow" and got["w.com/d/e/e/p/bad/a1"][1] > 0.8 > 0.3 > got["w.com/d/e/e/p/good/a1"][1]
 
 
+def test_url_query_by_brute_force(spark):
+    def general(seg):
+        stem, end = re.fullmatch(r"(.*?)(\.[A-Za-z]{1,5})?", seg, re.S).groups(default="")
+        return "*" + end if len(stem) > 40 or re.search(r"^[0-9]+$|^[0-9A-Fa-f-]{8,}$|[0-9].*-|-.*[0-9]|[0-9]{4,}", stem) else seg
+
+    def differ(n, b, m, c):
+        p, q, r = (b + 0.5) / (n + 1), (c + 0.5) / (m + 1), (b + c + 1) / (n + m + 2)
+        return n >= 5 and m > 0 and abs(p - q) / (r * (1 - r) * (1 / n + 1 / m)) ** 0.5 >= 1.96
+
+    pages, count, rules = [], {}, sorted(url_templates.RULES, key=lambda r: (-len(r.text), r.text))
+    for row in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        m = re.match(r".*?://([^/?#]*)([^?#]*)", row["url"] or "", re.S)
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        rule = next((r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), None)
+        segs = tuple(map(general, path[1:].split("/")))
+        branches = [(), *((host, *segs[:k]) for k in range(len(segs) + 1))]
+        pages.append((row["page_id"], rule, branches))
+        for b in branches if rule else ():
+            n, bad = count.get(b, (0, 0))
+            count[b] = (n + 1, bad + (not rule.allow))
+    apart = {b for b, (n, bad) in count.items() if b and differ(n, bad, count[b[:-1]][0] - n, count[b[:-1]][1] - bad)}
+    pool, total = {}, count.get((), (0, 0))
+    for _, rule, branches in pages:
+        if rule:
+            own = [b for b in branches if not b or b in apart][-1]
+            n, bad = pool.get(own, (0, 0))
+            pool[own] = (n + 1, bad + (not rule.allow))
+    want = {}
+    for i, rule, branches in pages:
+        n, bad = ([(0, 0)] + [pool[b] for b in branches if b in pool])[-1]
+        purity = (bad + 2 * (total[1] + 1) / (total[0] + 2)) / (n + 2)
+        want[i] = (rule and rule.text, "allow" if (rule.allow if rule else not (purity >= 0.8 and n >= 5)) else "block", round(purity, 9))
+    assert {r["page_id"]: (r["rule"], r["verdict"], round(r["purity"], 9)) for r in QUERIES["op10_url_templates"](spark, SF).collect()} == want
+
+
+def test_main_text_query_by_another_parser(spark):
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.got = False, ""
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            self.got += data if self.inside else ""
+
+    want = {}
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        p = Article()
+        p.feed(r["html"])
+        p.close()
+        want[r["page_id"]] = "".join(p.got.split())
+    assert {r["page_id"]: "".join(r["text"].split()) for r in QUERIES["op8_main_text"](spark, SF).collect()} == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
