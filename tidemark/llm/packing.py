@@ -7,7 +7,6 @@ fits nowhere is cut to fill the gaps, so that only a task's last sequences are p
 
 from __future__ import annotations
 
-import heapq
 import os
 import re
 import unicodedata
@@ -31,8 +30,6 @@ CAPACITY, END_ID = 4096, 2
 WINDOW = 1 << 20
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 4096.0
-#: Sequences that are tried for a piece before it is left for cutting.
-MOST_TRIED = 32
 #: Chunks whose ids a Python worker keeps, some 200 bytes each.
 MOST_CACHED = 1_000_000
 
@@ -84,7 +81,7 @@ class WordTokenizer:
     @staticmethod
     def split(text: str) -> list[str]:
         """Chunks whose ids joined are the text's. Case, which the tokenizer drops, and marks after a word go first, so that there are fewer different chunks."""
-        if unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text:  # capital sigma and dotted I depend on their context
+        if unicodedata.is_normalized("NFC", text) and "\u03a3" not in text:  # a capital sigma depends on its context
             text = text.lower()
         if not _MARKS.search(text):
             for mark in ",.":
@@ -93,7 +90,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids."""
-        odd = {i for i, t in enumerate(texts) if "<|" in t or any(x in t for x in "\x1c\x1d\x1e\x1f")}  # added tokens; what str.split alone takes for white space
+        odd = {i for i, t in enumerate(texts) if "<|" in t or any(x in t for x in "\x1c\x1d\x1e\x1f\u0130")}  # added tokens; what str.split alone takes for white space; a letter that becomes two, the second a mark
         split = [[] if i in odd else self.split(t) for i, t in enumerate(texts)]
         seen = set().union(*split)
         new = [c for c in seen if c not in self.chunks]
@@ -131,21 +128,16 @@ def pack(pieces: list[Piece], capacity: int, last: bool) -> tuple[list[list[Piec
     total = sum(map(len, pieces))
     n = -(-total // capacity) if last else total // capacity
     bins: list[list[Piece]] = [[] for _ in range(n)]
-    room, heap, left = [capacity] * n, [(0.0, i) for i in range(n)], []
+    room, spent, left = np.full(n, capacity), np.zeros(n), []
     for p in sorted(pieces, key=lambda p: (-len(p), p.row, p.start)):
-        size, passed = len(p), []
-        while heap and len(passed) < MOST_TRIED and room[heap[0][1]] < size:
-            passed.append(heapq.heappop(heap))
-        if heap and room[heap[0][1]] >= size:
-            c, i = heapq.heappop(heap)
+        fits = np.flatnonzero(room >= len(p))
+        if len(fits):
+            i = fits[spent[fits].argmin()]
             bins[i].append(p)
-            room[i] -= size
-            if room[i]:
-                heapq.heappush(heap, (c + cost(size), i))
+            room[i] -= len(p)
+            spent[i] += cost(len(p))
         else:
             left.append(p)
-        for x in passed:
-            heapq.heappush(heap, x)
     for i in range(n):
         while room[i] and left:
             p = left.pop()
@@ -163,8 +155,8 @@ FIELDS = {"start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tok
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer_file: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
     """One row a piece: id, where it starts in its document's ids, its sequence and the offset there; with_ids adds the ids themselves.
 
-    Every id lies in one piece. A null or empty text has the end id alone. Repeated rows are packed each for itself; an
-    empty table gives no rows. Sequence numbers are unique: the task's number times 2**40 and a count.
+    Every id lies in one piece. A null or empty text has the end id alone. Repeated rows and rows with a null id are packed
+    each for itself; an empty table gives no rows. Sequence numbers are unique: the task's number times 2**40 and a count.
     """
     importable(docs.sparkSession)
     text = fresh(docs, "__text")
