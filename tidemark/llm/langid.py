@@ -5,17 +5,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, map_texts
+from tidemark.llm.common import map_texts
 
 SIZES = (2, 3, 4)
 #: Texts of each language that the fit takes at most, about; the n-grams of each.
 MOST_TEXTS, MOST_GRAMS = 2000, 20_000
 #: An n-gram counts for a language when it is in this share of its texts, and in that share of the most of any language.
 LEAST_SHARE, LEAST_OF_BEST = 0.01, 0.3
-SLOTS_PER_GRAM, HASHES = 12, 2
+#: Slots for each n-gram of the language that has most; all languages share them, each with a bit of its own.
+SLOTS_PER_GRAM, HASHES = 48, 2
 
 _LETTERS: np.ndarray | None = None
 
@@ -58,8 +59,7 @@ class BitmaskFilter:
 
     @classmethod
     def build(cls, languages: tuple[str, ...], members: list[np.ndarray]) -> BitmaskFilter:
-        total = max(1, sum(map(len, members)))
-        size = 1 << int(np.ceil(np.log2(SLOTS_PER_GRAM * total)))
+        size = 1 << int(np.ceil(np.log2(SLOTS_PER_GRAM * max([1, *map(len, members)]))))
         kind = np.uint8 if len(languages) <= 8 else np.uint64
         words = -(-len(languages) // 64)
         slots = np.zeros((size, words) if words > 1 else size, kind)
@@ -103,7 +103,11 @@ class BitmaskFilter:
 
 
 def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST_TEXTS) -> BitmaskFilter:
-    """Learns from about `most` texts of each language, chosen by the hash of their id. The n-grams are counted on the executors."""
+    """Learns from about `most` texts of each language, chosen by the hash of their id and text, and of their n-grams from the MOST_GRAMS that most texts have.
+
+    Two passes over the table, whatever the number of languages: one counts the texts, one the n-grams on the executors.
+    Rows without language or text teach nothing; a null id counts like any other; an empty table gives a filter without languages.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if learn is not None:
         rows = rows.filter(learn)
@@ -120,11 +124,13 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     listed = map_texts(picked, ["lang"], "text", {"grams": "array<bigint>"}, own_grams)
     in_texts = listed.select("lang", F.explode("grams").alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     floors = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(max(2.0, LEAST_SHARE * min(most, n))))])
-    frequent = checkpointed(in_texts.filter(F.col("n") >= floors[F.col("lang")]))  # read once a language
+    frequent = in_texts.filter(F.col("n") >= floors[F.col("lang")])
+    best_first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    top = frequent.withColumn("k", F.row_number().over(best_first)).filter(F.col("k") <= MOST_GRAMS).select("lang", "gram", "n").toPandas()  # MOST_GRAMS rows a language
     shares: list[dict[int, float]] = []
     for k, n in counts.items():
-        top = frequent.filter(F.col("lang") == k).orderBy(F.desc("n"), "gram").limit(MOST_GRAMS).collect()
-        shares.append({r["gram"]: r["n"] / min(most, n) for r in top})
+        own = top[top["lang"] == k]
+        shares.append(dict(zip(own["gram"].tolist(), (own["n"] / min(most, n)).tolist())))
     best: dict[int, float] = {}
     for own in shares:
         for g, s in own.items():
@@ -134,8 +140,8 @@ def fit(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
 
 
 def identify(docs: DataFrame, model: BitmaskFilter, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns, lang_pred and score of every whole text. Null and letterless texts are "und"; equal texts get equal results; an empty table gives no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 20,000 n-grams x 12 slots at most, rounded up to a power of two, of 8 bytes for every 64 languages
+    """The kept columns, lang_pred and score of every whole text. Null and letterless texts are "und"; equal texts, repeated rows among them, get equal results; null ids are kept; an empty table gives no rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 20,000 n-grams x 48 slots at most, rounded up to a power of two, of 8 bytes for every 64 languages: 8 MB
 
     def step(texts):
         m = shared.value
