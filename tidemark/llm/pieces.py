@@ -1,11 +1,14 @@
 """SentencePiece encoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi search, and decoding joins pieces and bytes again.
 
-The segmentation has the largest sum of piece scores, the objective of unigram models, over the pieces and scores of the
-given model file.
+The segmentation has the largest sum of log-probabilities, the objective of unigram models, over the pieces of the given
+model file. A unigram model's scores are such logarithms. A merge model's are minus the rank of each merge: their sum would
+take early merges apart from common words, so a rank r counts as the logarithm of 1 / (r + RANK_OFFSET), scaled to add up to
+one over all pieces (the law of Zipf and Mandelbrot). Nothing is trained.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -22,6 +25,8 @@ from tidemark.llm.common import map_texts
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Added to the ranks of a merge model.
+RANK_OFFSET = 30.0
 LETTER = re.compile(r"[^\W_]")
 #: Segmented units that a Python worker keeps.
 MOST_CACHED = 300_000
@@ -51,10 +56,11 @@ class PieceCoder:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.silent = {i for i in range(n) if sp.is_control(i)}
         self.unknown = sp.unk_id()
+        self.scores = self.log_probabilities([None if x else sp.get_score(i) for i, x in enumerate(special)])
         self.automaton, least, inner, chars, pairs = ahocorasick.Automaton(), 0.0, False, set(), set()
         for i, p in enumerate(self.pieces):
             if not special[i]:
-                s = sp.get_score(i)
+                s = self.scores[i]
                 self.automaton.add_word(p, (len(p), s, i))
                 least = min(least, s)
                 inner |= SPACE in p.lstrip(SPACE)
@@ -71,6 +77,15 @@ class PieceCoder:
         utf8 = [p.encode("utf-8", "surrogatepass") for p in self.pieces]
         self.utf8 = [bytes([self.byte_of[i]]) if i in self.byte_of else " ⁇ ".encode() if i == self.unknown else u for i, u in enumerate(utf8)]
 
+    @staticmethod
+    def log_probabilities(scores: list[float | None]) -> list[float | None]:
+        """The scores themselves, or where they are minus 0, 1, 2 and so on, which are the ranks of a merge model, the logarithms that stand for those."""
+        ranks = [-s for s in scores if s is not None]
+        if ranks != list(map(float, range(len(ranks)))):
+            return scores
+        total = math.log(sum(1 / (r + RANK_OFFSET) for r in ranks))
+        return [None if s is None else -math.log(RANK_OFFSET - s) - total for s in scores]
+
     def segment(self, unit: str) -> list[int]:
         """At each end position the automaton gives all pieces that end there, the longest first; each relaxes the best score. A character without a piece of its own may be unknown."""
         n = len(unit)
@@ -144,12 +159,12 @@ def coder(model_file: str) -> PieceCoder:
 
 
 def encode(docs: DataFrame, keep: list[str], text_col: str = "text", model_file: str = MODEL) -> DataFrame:
-    """The kept columns and ids of every whole text. Null and empty texts have no ids."""
+    """The kept columns and ids of every whole text. Null and empty texts have no ids; null ids and repeated rows are coded like any other row; an empty table gives no rows."""
     return map_texts(docs, keep, text_col, {"ids": "array<int>"}, lambda texts: [[coder(model_file).encode(t) for t in texts]])
 
 
 def digest(docs: DataFrame, keep: list[str], text_col: str = "text", model_file: str = MODEL) -> DataFrame:
-    """The kept columns, number and checksum of the ids, and whether they decode to the text. Null counts as empty: no ids, 0, true."""
+    """The kept columns, number and checksum of the ids, and whether they decode to the text. Null counts as empty: no ids, 0, true. Null ids and repeated rows are coded like any other row; an empty table gives no rows."""
 
     def one(c: PieceCoder, t: str | None) -> tuple:
         raw = c.encode_bytes(t)
