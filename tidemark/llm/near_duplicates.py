@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import sketches as S
@@ -22,7 +22,7 @@ SHINGLE_WORDS, PERCENT = 5, 80
 #: How far below the threshold a likelihood estimate may lie; its standard deviation is 0.032.
 SLACK = 0.13
 #: Classes along the side of a block, and shingles of all of them together.
-BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 #: So many of the best candidates between two components go first; the others follow where these have not joined them.
 FIRST_TRIES = 3
 #: Ids of at most so many texts are broadcast to pick the texts out of the table; more are joined by a shuffle.
@@ -34,6 +34,16 @@ def set_key(h: np.ndarray) -> bytes:
     return np.array([h.sum(dtype=np.uint64), np.bitwise_xor.reduce(S.mixed(h * np.uint64(3)))], np.uint64).tobytes()
 
 
+def whole_ids(docs: DataFrame, id_col: str) -> bool:
+    return docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+
+
+def numbered(docs: DataFrame, id_col: str) -> Column:
+    """The id as a whole number: itself, or the hash of one of another type."""
+    c = F.col(f"`{id_col}`")
+    return c.cast("long") if whole_ids(docs, id_col) else F.when(c.isNotNull(), F.xxhash64(c))
+
+
 def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """id, n, key (16 bytes that stand for the set; null for an empty one), sketch."""
 
@@ -47,7 +57,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 out.append((0, None, None))
         return [list(c) for c in zip(*out)]
 
-    return map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ["id"], "text", {"n": "bigint", "key": "binary", "sketch": "binary"}, step)
+    return map_texts(docs.select(numbered(docs, id_col).alias("id"), F.col(text_col).alias("text")), ["id"], "text", {"n": "bigint", "key": "binary", "sketch": "binary"}, step)
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -142,12 +152,14 @@ def components(edges: DataFrame) -> DataFrame:
         both = live.union(live.select("b", "a"))
         hook = checkpointed(both.groupBy(F.col("a").alias("r")).agg(F.min("b").alias("m")).select("r", F.least("r", "m").alias("p")))
         for _ in range(2):
-            hook = checkpointed(twice(twice(hook)))
+            shallow, hook = hook, checkpointed(twice(twice(hook)))
+            discard(shallow)
         to = lambda x: hook.select(F.col("r").alias(x), F.col("p").alias(f"new_{x}"))
         old = (labels, live)
         labels = checkpointed(labels.join(to("comp"), "comp", "left").select("node", F.coalesce("new_comp", "comp").alias("comp")))
         live = checkpointed(live.join(to("a"), "a").join(to("b"), "b").select(F.col("new_a").alias("a"), F.col("new_b").alias("b")).filter("a <> b").distinct())
-        discard(*old)
+        discard(*old, hook)
+    discard(live)
     return labels
 
 
@@ -290,12 +302,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked when 100 * common >= percent * all distinct shingles of both. A null text or one without words has
     no shingles and no links. Rows that repeat an id are one document, whose texts' links all count; each keeps its row. A
-    null id is linked with nothing: component_id is null, and the row is kept. An empty table gives no rows.
+    null id is linked with nothing: component_id is null, and the row is kept. Ids may be of any type that has an order. An
+    empty table gives no rows. The result reads tables in the shared folder that only its reader can know to be done with:
+    one row a document, one a class and one a linked class; who owns the folder deletes them.
     """
     importable(docs.sparkSession)
     least = percent / 100 - SLACK
     base = checkpointed(sketched(docs, id_col, text_col, size))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(numbered(docs, id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     named = base.filter(F.col("id").isNotNull() & F.col("key").isNotNull())
     classes = checkpointed(named.groupBy("key").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
@@ -306,7 +320,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # first the hub that shares most bands with each class
     best = pairs.groupBy("a").agg(F.max(F.struct("weight", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b"), "m.weight")
-    labels = components(confirmed(checkpointed(likely(best, classes, least)), texts, size, percent))
+    first = checkpointed(likely(best, classes, least))
+    sure = confirmed(first, texts, size, percent)
+    labels = components(sure)
+    discard(first, sure)
 
     def grown(links: DataFrame) -> None:
         """Joins the components that the links lie between."""
@@ -326,14 +343,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # then the other hubs, a few between any two components
     between = Window.partitionBy("ca", "cb").orderBy(F.desc("weight"), "a", "b")
     some = crossing().withColumn("k", F.row_number().over(between)).filter(F.col("k") <= FIRST_TRIES)
-    grown(confirmed(checkpointed(likely(some.select("a", "b", "weight"), classes, least)), texts, size, percent))
+    second = checkpointed(likely(some.select("a", "b", "weight"), classes, least))
+    sure = confirmed(second, texts, size, percent)
+    grown(sure)
+    discard(second, sure)
 
     # and all that is left: buckets of two classes have one pair, that with the hub; members of larger ones that lie in several components meet in blocks
     rows = labelled(members.select("bucket", "cid").join(hubs.filter("size > 2").select("bucket", "size", "n_all"), "bucket"), labels, "cid", "comp")
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
     unsettled = rows.join(mixed, "bucket").withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n_all") / BLOCK_SHINGLES)).cast("bigint"))
     two = checkpointed(likely(crossing().filter("size = 2").select("a", "b", "weight"), classes, least))
-    grown(linked_in_blocks(unsettled, classes, texts, least, size, percent).union(confirmed(two, texts, size, percent)))
+    inside, outside = linked_in_blocks(unsettled, classes, texts, least, size, percent), confirmed(two, texts, size, percent)
+    grown(inside.union(outside))
+    discard(two, inside, outside)
 
     # rows of one id with several texts are one document: their classes are linked
     several = checkpointed(base.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi")).filter("lo <> hi").select("id"))
@@ -348,14 +370,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if repeated:  # a text without words has no class, but its id may have one
         same = out.join(several, "id").groupBy("id").agg(F.min("component").alias("same"))
         out = out.join(same, "id", "left").withColumn("component", F.coalesce("same", "component"))
-    component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
-    if docs.schema[id_col].dataType.typeName() != "long":
-        component = component.cast(docs.schema[id_col].dataType)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = out.select("id", "n", F.coalesce("component", "id").alias("component"))
+    if whole_ids(docs, id_col):
+        kind = docs.schema[id_col].dataType
+        return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component")).cast(kind).alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    return renamed(checkpointed(out), docs, id_col)
+
+
+def renamed(out: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
+    """The result with ids of the documents' own type in place of their hashes; two ids of one hash are an error, as they would be one document."""
+    own = F.col(f"`{id_col}`")
+    names = checkpointed(docs.filter(own.isNotNull()).groupBy(numbered(docs, id_col).alias("id")).agg(F.min(own).alias("name"), F.max(own).alias("other")))
+    if not names.filter("name <> other").isEmpty():
+        raise ValueError(f"two values of {id_col} have one hash")
+    least = out.join(names, "id").groupBy("component").agg(F.min("name").alias("least"))
+    full = out.join(names.select("id", "name"), "id", "left").join(least, "component", "left")
+    return full.select(F.col("name").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("name").isNotNull(), F.col("least")).alias("component_id"), F.coalesce(F.col("name") == F.col("least"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that another document of their group stands for; all columns stay."""
+    """The documents without those that another document of their group stands for; all columns stay.
+
+    Null texts and null ids stay, rows that repeat an id stay or go together, an empty table stays empty.
+    """
     found = near_duplicates(docs, id_col, text_col, size, percent)
     return docs.join(found.filter(~F.col("kept")).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
 

@@ -39,20 +39,30 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: Words that are hashed at once; a longer text is taken in parts that overlap, so that the tables of powers stay small.
+PART_WORDS = 100_000
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of `size` words, A to Z lower-cased; of all words where there are fewer; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    codes = np.frombuffer(joined, np.uint8)
+    if len(words) <= PART_WORDS:
+        return np.unique(_runs(words, size))
+    return np.unique(np.concatenate([_runs(words[at : at + PART_WORDS + size - 1], size) for at in range(0, len(words) - size + 1, PART_WORDS)]))
+
+
+def _runs(words: list[bytes], size: int) -> np.ndarray:
+    """The hash of each run; it depends on the bytes of the run alone."""
+    codes = np.frombuffer(b" ".join(words), np.uint8)
     spaces = np.flatnonzero(codes == 32)
     starts, ends = np.concatenate(([0], spaces + 1)), np.concatenate((spaces, [len(codes)]))
     k = min(size, len(words))
     starts, ends = starts[: len(words) - k + 1], ends[k - 1 :]
     powers, inverses = _powers(len(codes) + 1)
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[codes] * powers[: len(codes)], dtype=np.uint64)))
-    return np.unique(mixed((prefix[ends] - prefix[starts]) * inverses[starts]))
+    return mixed((prefix[ends] - prefix[starts]) * inverses[starts])
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
