@@ -1,62 +1,79 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions alone.
 
 Each entity is found by pattern and replaced by a value drawn from a keyed hash of its normal form: the same person, number
-or address gets the same surrogate everywhere, of the same type, gender, script, case and punctuation. A check over all
-distinct entities finds surrogates that two entities share or that equal a real entity; those entities draw again.
+or address gets the same surrogate everywhere, of the same type, gender, script, case and punctuation. Names are entities
+word by word: a first name and a surname have surrogates of their own, so a person named in full, by the surname or by
+another title stays the same, and a word that a title has shown to be a name is replaced where it stands alone in the same
+text too. A check over all distinct entities finds surrogates that two entities share or that equal a real entity; those
+draw again, until none is left. Names that no title ever stands before are not found.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpointed, fresh
+from tidemark.llm.common import checkpointed, discard, fresh
 
-# Given names by gender and script, titles by gender.
-NAMES = {
-    ("f", "latin"): "Anna Clara Elena Emma Julia Laura Lena Maria Marta Nina Paula Rosa Sara Sofia Teresa Vera".split(),
-    ("m", "latin"): "Adam Carlos David Erik Felix Hugo Ivan Jonas Leon Lukas Marco Oscar Paul Simon Tomas Victor".split(),
-    ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга".split(),
-    ("m", "cyrillic"): "Антон Борис Виктор Денис Игорь Максим Олег Павел".split(),
-    ("f", "greek"): "Άννα Ελένη Ειρήνη Μαρία Σοφία Χριστίνα Δήμητρα Κατερίνα".split(),
-    ("m", "greek"): "Γιώργος Νίκος Κώστας Πέτρος Παύλος Σπύρος Ανδρέας Μιχάλης".split(),
-}
+# Syllables by script, last syllables of first names by script and gender, titles by gender.
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro".split(),
     "cyrillic": "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со".split(),
     "greek": "βα βε βι βο δα δε δι δο κα κε κι κο λα λε λι λο μα με μι μο να νε νι νο ρα ρε ρι ρο σα σε σι σο".split(),
 }
-FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "г-жа", "Κυρία")
+GIVEN_ENDS = {
+    ("f", "latin"): "na ra la ma ta da sa ka".split(),
+    ("m", "latin"): "no ro lo mo to do so ko".split(),
+    ("n", "latin"): "ne re le me te de se ke".split(),
+    ("f", "cyrillic"): "на ра ла ма та да са ка".split(),
+    ("m", "cyrillic"): "он ор ол ом от од ос ок".split(),
+    ("n", "cyrillic"): "не ре ле ме те де се ке".split(),
+    ("f", "greek"): "να ρα λα μα τα δα σα κα".split(),
+    ("m", "greek"): "νος ρος λος μος τος δος σος κος".split(),
+    ("n", "greek"): "νε ρε λε με τε δε σε κε".split(),
+}
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Dra", "Г-жа", "г-жа", "Κυρία")
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "г-н", "Κύριος")
-
-_TITLE = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? "
-_NAME = r"\p{Lu}[\p{Ll}'’-]+"
+NEUTRAL_TITLES = ("Dr", "Prof", "Doctor", "Professor", "Mx")
+HAN = "天地人山水火木金土日月星云雨雪"
+
+_ONE_TITLE = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES) + r")\.? "
+_TITLE = f"(?:{_ONE_TITLE}){{1,3}}"
+#: A capital and more letters; apostrophes and hyphens between letters. Up to three such words, of which but the last may be initials.
+_NAME = r"\p{Lu}(?:['’-]?[\p{L}\p{M}])+"
+_NAMES = rf"(?:(?:{_NAME}|\p{{Lu}}\.) ){{0,2}}{_NAME}"
 _HEX = "[0-9A-Fa-f]"
+_SHORT_IPV6 = rf"(?:{_HEX}{{1,4}}(?::{_HEX}{{1,4}})*)?::(?:{_HEX}{{1,4}}(?::{_HEX}{{1,4}})*)?"
+_CARD = "[0-9](?:[ -]?[0-9]){12,18}"
 
 #: Type -> pattern, in the order of trial at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "ipv6": rf"(?<![0-9A-Za-z:])(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}(?![0-9A-Za-z:])",
+    "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}|(?=[A-Fa-f:]*[0-9])(?=(?::*{_HEX}){{5}}){_SHORT_IPV6})(?![0-9A-Za-z:])",
     "mac": rf"(?<![0-9A-Za-z:])(?:{_HEX}{{2}}:){{5}}{_HEX}{{2}}(?![0-9A-Za-z:])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "secret": rf"(?<![0-9A-Za-z]){_HEX}{{32,128}}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:gh[pousr]_|sk-)[0-9A-Za-z]{{20,}}|(?<=[=:\" ])(?<=(?:token|secret|password|api_key) ?[=:] ?\"?)[^\s\"]{{8,}}",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<!\p{{L}}){_TITLE}{_NAME}(?: {_NAME})?",
+    "card": rf"(?<![0-9])({_CARD})(?![0-9])",
+    "name": rf"(?<!\p{{L}}){_TITLE}{_NAMES}",
 }
+#: Its one group takes numbers that are of the length of a card's and no secret by their context.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _KEYS = ("token", "secret", "password", "api_key")
 #: Entities that may have neither a digit nor any of the other hints.
 _LETTERS_ONLY = rf"A[KS]IA[0-9A-Z]{{16}}|gh[pousr]_|sk-[0-9A-Za-z]{{20}}|{_HEX}{{32}}|{_HEX}:{_HEX}{{1,4}}:"
+#: Draws before the check gives up with an error, draws from which names and secrets grow longer, and redrawn entities up to which they go along as a literal.
+MOST_DRAWS, LONGER_FROM, MOST_MOVED = 64, 8, 5_000
 
 
 def hinted(text: Column) -> Column:
     """False for texts that cannot hold an entity; far cheaper than the full pattern."""
-    out = text.rlike("[0-9@]") | text.rlike(rf"(?=[MFHSГгΚ])(?<!\p{{L}}){_TITLE}")
+    out = text.rlike("[0-9@]") | text.rlike(rf"(?=[MFHSDPГгΚ])(?<!\p{{L}}){_ONE_TITLE}")
     out = out | text.rlike(_LETTERS_ONLY)
     for k in _KEYS:
         out = out | F.contains(text, F.lit(k))
@@ -70,9 +87,9 @@ class Keyed:
     key: str
 
     def normal(self, kind: Column, m: Column) -> Column:
-        """What two mentions of one entity have in common."""
+        """What two mentions of one entity have in common; of names, words are entities."""
         digits = F.regexp_replace(m, "[^0-9]", "")
-        return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "name", F.lower(F.regexp_replace(m, f"^{_TITLE}", ""))).when(kind == "iban", F.upper(F.replace(m, F.lit(" "), F.lit("")))).otherwise(F.lower(m))
+        return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.upper(F.replace(m, F.lit(" "), F.lit("")))).otherwise(F.lower(m))
 
     def stream(self, kind: Column, normal: Column, nonce: Column) -> Column:
         """256 keyed hex digits."""
@@ -104,6 +121,8 @@ class Keyed:
                 .when(c.rlike(r"^[\p{IsGreek}&&\p{Lu}]$"), letters("ΑΒΓΔΕΖΗΘΙΚΛΜΝΟΠΡΣΤΥΦΧΨΩ", v))
                 .when(c.rlike(r"^\p{Ll}$"), letters("abcdefghijklmnopqrstuvwxyz", v))
                 .when(c.rlike(r"^\p{Lu}$"), letters("ABCDEFGHIJKLMNOPQRSTUVWXYZ", v))
+                .when(c.rlike(r"^\p{IsHan}$"), letters(HAN, v))
+                .when(c.rlike(r"^\p{L}$"), letters("abcdefghijklmnopqrstuvwxyz", v))
                 .otherwise(c)
             )
 
@@ -121,11 +140,28 @@ class Keyed:
 
         return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
 
-    def card(self, m: Column, made: Column) -> Column:
-        """Passes the check-digit test if the original does."""
-        digits, body = F.regexp_replace(m, "[^0-9]", ""), F.regexp_replace(made, "[0-9]$", "")
+    def card(self, made: Column) -> Column:
+        """The last digit makes it pass the check-digit test, as the original does."""
+        body = F.regexp_replace(made, "[0-9]$", "")
         check = F.pmod(10 - self.luhn_sum(F.regexp_replace(body, "[^0-9]", ""), 0) % 10, F.lit(10))
-        return F.when(self.luhn_sum(digits, 1) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(made)
+        return F.concat(body, check.cast("string"))
+
+    @staticmethod
+    def iban(made: Column) -> Column:
+        """The third and fourth character are check digits: read as a number with the country behind the account, the rest of the division by 97 is 1."""
+        compact = F.upper(F.replace(made, F.lit(" "), F.lit("")))
+        turned = F.concat(F.substr(compact, F.lit(5)), F.substr(compact, F.lit(1), F.lit(2)), F.lit("00"))
+
+        def step(acc: Column, c: Column) -> Column:
+            v = F.when(c.rlike("^[0-9]$"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+            return F.when(v < 10, acc * 10 + v).otherwise(acc * 100 + v) % 97
+
+        rest = F.aggregate(F.split(turned, ""), F.lit(0), step)
+        return F.concat(F.substr(made, F.lit(1), F.lit(2)), F.lpad((98 - rest).cast("string"), 2, "0"), F.substr(made, F.lit(5)))
+
+    def short_ipv6(self, m: Column, stream: Column) -> Column:
+        """Each group becomes four hex digits."""
+        return F.array_join(F.transform(F.split(m, ":"), lambda g, i: F.when(g == "", "").otherwise(F.substr(stream, F.lit(1) + i * 4, F.lit(4)))), ":")
 
     def email(self, m: Column, stream: Column) -> Column:
         """A local part of the same shape, 8 characters at least, under a domain that is reserved for examples."""
@@ -138,115 +174,185 @@ class Keyed:
     def ipv4(self, stream: Column) -> Column:
         return F.concat_ws(".", (self.byte(stream, F.lit(0)) % 223 + 1).cast("string"), *[self.byte(stream, F.lit(i)).cast("string") for i in (1, 2, 3)])
 
-    def name(self, m: Column, parts: Column, given: Column, family: Column) -> Column:
-        """Title kept. First names and surnames have surrogates of their own, so a person named once in full and once by surname stays the same."""
-        title = F.regexp_extract(m, f"^{_TITLE}", 0)
-        female = title.rlike("^(?:" + "|".join(FEMALE_TITLES) + r")\.? $")
+    def word(self, kind: Column, m: Column, stream: Column, nonce: Column) -> Column:
+        """The surrogate of a word of a name: syllables of its script, first names with an ending of the gender; two halves where it has a hyphen; an initial for an initial. Late draws add a syllable each."""
 
         def of(script: str) -> Column:
-            first = F.when(female, self.pick(given, 0, NAMES["f", script])).otherwise(self.pick(given, 0, NAMES["m", script]))
-            last = F.initcap(F.concat(*[self.pick(family, i, SYLLABLES[script]) for i in range(4)]))
-            return F.concat(title, F.when(F.size(parts) > 1, F.concat(first, F.lit(" "), last)).otherwise(last))
-
-        last = F.element_at(parts, -1)
-        return F.when(last.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(last.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+            at = [self.pick(stream, i, SYLLABLES[script]) for i in range(4)]
+            for g in ("f", "m", "n"):
+                at[3] = F.when(kind == f"given_{g}", self.pick(stream, 3, GIVEN_ENDS[g, script])).otherwise(at[3])
+            more = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(nonce - LONGER_FROM, F.lit(0))), lambda i: F.when(i > 0, F.element_at(F.array(*map(F.lit, SYLLABLES[script])), self.byte(stream, i + 8) % len(SYLLABLES[script]) + 1)).otherwise("")), "")
+            front = F.concat(at[0], more, at[1])
+            return F.when(F.contains(m, F.lit("-")), F.concat(F.initcap(front), F.lit("-"), F.initcap(F.concat(at[2], at[3])))).otherwise(F.initcap(F.concat(front, at[2], at[3])))
+
+        made = F.when(m.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(m.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+        made = F.when((m == F.upper(m)) & (F.length(m) > 1), F.upper(made)).otherwise(made)
+        initial = F.concat(F.upper(F.substr(made, F.lit(1), F.lit(1))), F.lit("."))
+        return F.when(kind == "initial", initial).otherwise(made)
 
     def described(self, ms: Column) -> Column:
-        """An array of matches as structs (m, kind, normal). Each step is a transform of its own, so that what it makes is worked out once."""
-        kinds = F.transform(ms, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-        return F.transform(kinds, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), self.normal(s["kind"], s["m"]).alias("normal")))
+        """An array of mentions (m, card) as structs (title, parts), where a part is (m, kind, normal): the words of a name behind their title, or the whole mention. Each step is a transform of its own, so that what it makes is worked out once."""
+        kinds = F.transform(ms, lambda x: F.struct(x["m"].alias("m"), kind_of(x["m"], x["card"]).alias("kind")))
+        titled = F.transform(kinds, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), F.when(s["kind"] == "name", F.regexp_extract(s["m"], f"^{_TITLE}", 0)).otherwise("").alias("title")))
+
+        def words(s: Column) -> Column:
+            female, male = (s["title"].rlike(r"(?:^| )(?:" + "|".join(t) + r")\.? ") for t in (FEMALE_TITLES, MALE_TITLES))
+            given = F.when(female, "given_f").when(male, "given_m").otherwise("given_n")
+            own = F.split(F.substr(s["m"], F.length(s["title"]) + 1), " ")
+            return F.transform(own, lambda w, i: F.struct(w.alias("m"), F.when(w.rlike(r"^\p{Lu}\.$"), "initial").when(i < F.size(own) - 1, given).otherwise("family").alias("kind"), F.lower(w).alias("normal")))
 
-    def surrogates(self, described: Column, nonce) -> Column:
-        """The surrogates of an array of structs (m, kind, normal); nonce gives the number of the draw for one of them."""
+        whole = lambda s: F.array(F.struct(s["m"].alias("m"), s["kind"].alias("kind"), self.normal(s["kind"], s["m"]).alias("normal")))
+        return F.transform(titled, lambda s: F.struct(s["title"].alias("title"), F.when(s["kind"] == "name", words(s)).otherwise(whole(s)).alias("parts")))
+
+    def drawn(self, parts: Column, nonce) -> Column:
+        """The surrogates of an array of parts; nonce gives the number of the draw for one of them. A number that is no card stays."""
 
         def seeded(s: Column) -> Column:
-            m, kind, n = s["m"], s["kind"], nonce(s)
+            m, kind = s["m"], s["kind"]
             keep = F.when(kind == "phone", F.greatest(F.length(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)), F.length(F.regexp_extract(m, r"^\+[0-9]", 0)))).when(kind == "iban", 2).when(kind == "secret", F.length(F.regexp_extract(m, "^(?:AKIA|ASIA|gh[pousr]_|sk-)", 0))).otherwise(0)
-            parts = F.split(s["normal"], " ")
-            own = {
-                "stream": self.stream(kind, s["normal"], n),
-                "given": F.when(kind == "name", self.stream(F.lit("given"), F.when(F.size(parts) > 1, parts[0]).otherwise(""), n)),
-                "family": F.when(kind == "name", self.stream(F.lit("family"), F.element_at(parts, -1), n)),
-                "parts": parts,
-                "keep": keep,
-                "is_hex": m.rlike(rf"^{_HEX}{{32,}}$|^{_HEX}{{1,4}}(?::{_HEX}{{1,4}})+$"),
-                "is_upper": m == F.upper(m),
-            }
-            return F.struct(m.alias("m"), kind.alias("kind"), *[c.alias(k) for k, c in own.items()])
+            own = {"nonce": nonce(s), "keep": keep, "is_hex": m.rlike(rf"^{_HEX}{{32,}}$|^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "is_upper": m == F.upper(m), "short": F.contains(m, F.lit("::"))}
+            return F.struct(m.alias("m"), kind.alias("kind"), s["normal"].alias("normal"), *[c.alias(k) for k, c in own.items()])
+
+        def streamed(s: Column) -> Column:
+            names = ("m", "kind", "nonce", "keep", "is_hex", "is_upper", "short")
+            return F.struct(*[s[k].alias(k) for k in names], self.stream(s["kind"], s["normal"], s["nonce"]).alias("stream"))
 
         def shaped(s: Column) -> Column:
-            made = F.when(~s["kind"].isin("email", "ipv4", "name"), self.shaped(s["m"], s["stream"], s["keep"], s["is_hex"], s["is_upper"]))
-            return F.struct(*[s[k].alias(k) for k in ("m", "kind", "stream", "given", "family", "parts")], made.alias("made"))
+            own = F.when(s["kind"].isin("ipv6", "mac", "secret", "iban", "phone", "ssn", "card"), self.shaped(s["m"], s["stream"], s["keep"], s["is_hex"], s["is_upper"]))
+            return F.struct(*[s[k].alias(k) for k in ("m", "kind", "nonce", "stream", "short")], own.alias("made"))
 
-        def drawn(s: Column) -> Column:
-            kind, m = s["kind"], s["m"]
-            return F.when(kind == "email", self.email(m, s["stream"])).when(kind == "ipv4", self.ipv4(s["stream"])).when(kind == "name", self.name(m, s["parts"], s["given"], s["family"])).when(kind == "card", self.card(m, s["made"])).otherwise(s["made"])
+        def one(s: Column) -> Column:
+            kind, m, made = s["kind"], s["m"], s["made"]
+            bare = (F.length(F.regexp_replace(m, r"[^\p{L}0-9]", "")) < 8) | (s["nonce"] >= LONGER_FROM)  # a shape with too few values
+            return (
+                F.when(kind == "email", self.email(m, s["stream"]))
+                .when(kind == "ipv4", self.ipv4(s["stream"]))
+                .when(kind == "card", self.card(made))
+                .when(kind == "iban", self.iban(made))
+                .when((kind == "ipv6") & s["short"], self.short_ipv6(m, s["stream"]))
+                .when((kind == "secret") & bare, F.substr(s["stream"], F.lit(1), F.greatest(F.lit(16), F.least(F.lit(256), F.length(m)))))
+                .when((kind == "phone") & (s["nonce"] >= LONGER_FROM), F.concat(made, F.translate(F.substr(s["stream"], F.lit(101), s["nonce"] - LONGER_FROM + 1), "abcdef", "012345")))
+                .when(kind == "number", m)
+                .when(F.startswith(kind, F.lit("given")) | kind.isin("family", "initial"), self.word(kind, m, s["stream"], s["nonce"]))
+                .otherwise(made)
+            )
 
-        return F.transform(F.transform(F.transform(described, seeded), shaped), drawn)
+        return F.transform(F.transform(F.transform(F.transform(parts, seeded), streamed), shaped), one)
 
 
-def kind_of(m: Column) -> Column:
-    """The first type whose pattern takes the whole match; contexts around it do not count here."""
-    own = {"email": "@", "ipv6": rf"^(?:{_HEX}{{1,4}}:){{7}}", "mac": rf"^(?:{_HEX}{{2}}:){{5}}", "ipv4": r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$", "name": f"^{_TITLE}{_NAME}", "iban": "^" + PATTERNS["iban"] + "$", "ssn": "^" + PATTERNS["ssn"] + "$"}
-    out = None
-    for kind in ("email", "ipv6", "mac", "ipv4", "name", "ssn"):
-        out = F.when(m.rlike(own[kind]), kind) if out is None else out.when(m.rlike(own[kind]), kind)
-    out = out.when(m.rlike(rf"^{_HEX}{{32,128}}$"), "secret").when(m.rlike(own["iban"]), "iban").when(m.rlike(r"^(?:\+|\()|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), "phone").when(m.rlike(r"^[0-9](?:[ -]?[0-9]){12,18}$"), "card")
+def kind_of(m: Column, card: Column) -> Column:
+    """The first type whose pattern takes the whole match. A number of a card's length is a card if its check digit is right."""
+    own = {"email": "@", "ipv6": rf"^(?:{_HEX}{{1,4}}:){{7}}|^[0-9A-Fa-f:]*::[0-9A-Fa-f:]*$", "mac": rf"^(?:{_HEX}{{2}}:){{5}}", "ipv4": r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$", "name": f"^{_TITLE}{_NAME}|^{_TITLE}\\p{{Lu}}\\. ", "ssn": "^" + PATTERNS["ssn"] + "$"}
+    valid = Keyed.luhn_sum(F.regexp_replace(m, "[^0-9]", ""), 1) % 10 == 0
+    out = F.when(card != "", F.when(valid, "card").otherwise("number"))
+    for kind, pattern in own.items():
+        out = out.when(m.rlike(pattern), kind)
+    out = out.when(m.rlike(rf"^{_HEX}{{32,128}}$"), "secret").when(m.rlike("^" + PATTERNS["iban"] + "$"), "iban").when(m.rlike(r"^(?:\+|\()|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), "phone")
     return out.otherwise("secret")
 
 
 def mentions(text: Column) -> Column:
-    return F.when(hinted(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    """(m, card) of all matches; card is the match again where it is a number of a card's length and no secret by its context."""
+    ms = F.when(hinted(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+
+    def with_cards(own: Column) -> Column:
+        cards = F.when(F.exists(own, lambda m: m.rlike(f"^{_CARD}$")), F.regexp_extract_all(text, F.lit(ANY), F.lit(1))).otherwise(F.array().cast("array<string>"))
+        return F.zip_with(own, cards, lambda m, c: F.struct(m.alias("m"), F.coalesce(c, F.lit("")).alias("card")))
+
+    return F.transform(F.array(ms), lambda own: F.when(own.isNotNull(), with_cards(own)))[0]
 
 
 def redrawn(docs: DataFrame, text_col: str, keyed: Keyed) -> DataFrame | None:
-    """(kind, normal, nonce) of the entities whose first surrogate is not theirs alone; None if there are none, as is usual."""
-    found = docs.select(F.explode(keyed.described(mentions(F.col(f"`{text_col}`")))).alias("e")).select("e.*")
+    """(kind, normal, nonce) of the entities whose first surrogate is not theirs alone, as a written table; None if there are none."""
+    parts = F.flatten(F.transform(keyed.described(mentions(F.col(f"`{text_col}`"))), lambda s: s["parts"]))
+    found = docs.select(F.explode(parts).alias("e")).select("e.*").filter(~F.col("kind").isin("initial", "number"))
     entities = checkpointed(found.groupBy("kind", "normal").agg(F.min("m").alias("m")))
+    # words of names are told apart whatever their place in a name
+    group = F.when(F.startswith("kind", F.lit("given")) | (F.col("kind") == "family"), "name").otherwise(F.col("kind"))
+    real = entities.select(group.alias("group"), F.col("normal").alias("v"), F.lit("").alias("entity"), F.lit(1).alias("real")).distinct()
     chosen = entities.select("kind", "normal", "m", F.lit(0).alias("nonce"))
     moved = None
-    for nonce in range(1, 64):
-        drawn = keyed.surrogates(F.array(F.struct("m", "kind", "normal")), lambda s: F.col("nonce"))
-        made = chosen.withColumn("drawn", drawn[0]).withColumn("v", keyed.normal(F.col("kind"), F.col("drawn"))).drop("drawn")
-        claims = made.select("kind", "v", "normal", F.lit(0).alias("real")).union(entities.select("kind", F.col("normal").alias("v"), F.lit("").alias("normal"), F.lit(1).alias("real")))
+    for nonce in range(1, MOST_DRAWS + 1):
+        drawn = keyed.drawn(F.array(F.struct("m", "kind", "normal")), lambda s: F.col("nonce"))[0]
+        made = chosen.withColumn("drawn", drawn).select("kind", "normal", group.alias("group"), keyed.normal(F.col("kind"), F.col("drawn")).alias("v"), F.concat_ws("|", "kind", "normal").alias("entity"))
+        claims = made.select("group", "v", "entity", F.lit(0).alias("real")).union(real)
         # a value belongs to the real entity of that form, or else to the least of those that drew it
-        owner = claims.groupBy("kind", "v").agg(F.max("real").alias("real"), F.min(F.when(F.col("real") == 0, F.col("normal"))).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        lost = checkpointed(made.join(owner, ["kind", "v"]).filter((F.col("real") == 1) | (F.col("normal") != F.col("first"))).select("kind", "normal"))
+        owner = claims.groupBy("group", "v").agg(F.max("real").alias("real"), F.min(F.when(F.col("real") == 0, F.col("entity"))).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        lost = checkpointed(made.join(owner, ["group", "v"]).filter((F.col("real") == 1) | (F.col("entity") != F.col("first"))).select("kind", "normal"))
         if lost.isEmpty():
-            break
-        again = lost.withColumn("to", F.lit(nonce))
+            discard(lost, entities)
+            return moved
+        before, again = chosen, lost.withColumn("to", F.lit(nonce))
         chosen = checkpointed(chosen.join(again, ["kind", "normal"], "left").select("kind", "normal", "m", F.coalesce("to", "nonce").alias("nonce")))
+        discard(lost, *([before] if moved is not None else []))
         moved = chosen.filter("nonce > 0").select("kind", "normal", "nonce")
-    return moved
+    raise ValueError(f"entities share surrogates after {MOST_DRAWS} draws")
+
+
+def literal_nonces(moved: DataFrame):
+    """The draw of a part as a column, out of a literal of bounded size."""
+    slots: list[dict[str, int]] = [{} for _ in range(256)]
+    for r in moved.select("kind", "normal", "nonce", F.pmod(F.xxhash64("kind", "normal"), F.lit(256)).alias("slot")).collect():  # MOST_MOVED rows at most
+        slots[r["slot"]][f"{r['kind']}|{r['normal']}"] = r["nonce"]
+    held = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,int>>")
+
+    def nonce(s: Column) -> Column:
+        slot = F.element_at(held, (F.pmod(F.xxhash64(s["kind"], s["normal"]), F.lit(256)) + 1).cast("int"))
+        return F.coalesce(slot[F.concat_ws("|", s["kind"], s["normal"])], F.lit(0))
+
+    return nonce
 
 
 def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text", n_chars_col: str | None = "n_chars", count_into: str | None = None) -> DataFrame:
     """The documents with surrogates in their texts; all columns stay, n_chars, if there, follows, and count_into names a column for the number of mentions.
 
-    A null text stays null, an empty one empty. Equal texts get equal results; repeated rows all stay; an empty table gives
-    no rows. Only texts with an entity that had to draw again are joined with the new draws.
+    A null text stays null, an empty one empty. Equal texts get equal results; rows that repeat and null ids all stay; an
+    empty table gives no rows. No document is shuffled while up to MOST_MOVED entities had to draw again; beyond that, only
+    texts with an entity are joined with the draws of their own.
     """
     keyed = Keyed(key)
     moved = redrawn(docs, text_col, keyed)
     text, fixes, m = F.col(f"`{text_col}`"), fresh(docs, "__fixes"), fresh(docs, "__m")
     rows = docs.withColumn(m, mentions(text))
     if moved is None:
-        nonce = lambda s: F.lit(0)
-    else:
-        mine = fresh(docs, "__md5")
-        own = docs.select(F.md5(text).alias(mine), F.explode(keyed.described(mentions(text))).alias("e")).select(mine, "e.kind", "e.normal").distinct().join(moved, ["kind", "normal"])
-        by_text = own.groupBy(mine).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "normal").alias("k"), "nonce"))).alias(fixes))
-        rows = rows.withColumn(mine, F.md5(text)).join(by_text, mine, "left")
-        nonce = lambda s: F.coalesce(F.col(fixes)[F.concat_ws("|", s["kind"], s["normal"])], F.lit(0))
-
-    between = F.split(text, ANY, -1)
-    made = F.array_join(F.zip_with(between, keyed.surrogates(keyed.described(F.col(m)), nonce), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = F.when(F.size(m) > 0, made).otherwise(text)
+        return rewritten(rows, docs, keyed, lambda s: F.lit(0), m, text_col, n_chars_col, count_into)
+    if moved.count() <= MOST_MOVED:
+        return rewritten(rows, docs, keyed, literal_nonces(moved), m, text_col, n_chars_col, count_into)
+    mine, has = fresh(docs, "__md5"), F.size(m) > 0
+    parts = F.flatten(F.transform(keyed.described(mentions(text)), lambda s: s["parts"]))
+    own = docs.select(F.md5(text).alias(mine), F.explode(parts).alias("e")).select(mine, "e.kind", "e.normal").distinct().join(moved, ["kind", "normal"])
+    by_text = own.groupBy(mine).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "normal").alias("k"), "nonce"))).alias(fixes))
+    joined = rows.filter(has).withColumn(mine, F.md5(text)).join(by_text, mine, "left").drop(mine)
+    plain = rows.filter(F.coalesce(~has, F.lit(True))).withColumn(fixes, F.lit(None).cast("map<string,int>"))
+    nonce = lambda s: F.coalesce(F.col(fixes)[F.concat_ws("|", s["kind"], s["normal"])], F.lit(0))
+    return rewritten(joined.unionByName(plain), docs, keyed, nonce, m, text_col, n_chars_col, count_into)
+
+
+def words_of(made: Column) -> Column:
+    """The words of names in mentions, and what stands for them, for the gaps between the mentions."""
+    pairs = F.transform(F.filter(made, lambda s: s["title"] != ""), lambda s: F.zip_with(s["parts"], s["drawn"], lambda p, d: F.struct(p["m"].alias("w"), p["kind"].alias("kind"), d.alias("d"))))
+    return F.array_distinct(F.filter(F.flatten(pairs), lambda p: p["kind"] != "initial"))
+
+
+def rewritten(rows: DataFrame, docs: DataFrame, keyed: Keyed, nonce, m: str, text_col: str, n_chars_col: str | None, count_into: str | None) -> DataFrame:
+    """The columns of docs with surrogates for the mentions in column m."""
+    text = F.col(f"`{text_col}`")
+    made = F.transform(keyed.described(F.col(m)), lambda s: F.struct(s["title"].alias("title"), s["parts"].alias("parts"), keyed.drawn(s["parts"], nonce).alias("drawn")))
+    alone = lambda gap, p: F.regexp_replace(gap, F.concat(F.lit(r"(?<![\p{L}\p{M}'’-])"), p["w"], F.lit(r"(?!['’-]?[\p{L}\p{M}])")), p["d"])
+
+    def joined(got: Column) -> Column:
+        between = F.split(text, ANY, -1)
+        gaps = F.when(F.size(got["words"]) > 0, F.transform(between, lambda g: F.aggregate(got["words"], g, alone))).otherwise(between)
+        return F.array_join(F.zip_with(gaps, got["made"], lambda a, b: F.concat(a, F.coalesce(F.concat(b["title"], F.array_join(b["drawn"], " ")), F.lit("")))), "")
+
+    staged = F.transform(F.transform(F.array(F.struct(made.alias("made"))), lambda x: F.struct(x["made"].alias("made"), words_of(x["made"]).alias("words"))), joined)
+    out = F.when(F.size(m) > 0, staged[0]).otherwise(text)
     names = [c for c in docs.columns if c != text_col]
-    result = rows.select(*[F.col(f"`{c}`") for c in names], out.alias(text_col), F.coalesce(F.size(m), F.lit(0)).alias(fresh(docs, "__n")))
-    counted = result.columns[-1]
+    number = fresh(docs, "__n")
+    real = F.size(F.filter(F.col(m), lambda x: kind_of(x["m"], x["card"]) != "number")) if count_into else F.lit(0)
+    result = rows.select(*[F.col(f"`{c}`") for c in names], out.alias(text_col), F.coalesce(real, F.lit(0)).alias(number))
     if n_chars_col and n_chars_col in docs.columns:
         result = result.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType))
     if count_into:
-        return result.select(*docs.columns, F.greatest(counted, F.lit(0)).cast("long").alias(count_into))
+        return result.select(*docs.columns, F.greatest(number, F.lit(0)).cast("long").alias(count_into))
     return result.select(*docs.columns)
