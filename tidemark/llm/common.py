@@ -38,17 +38,17 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, fields: dict[str, str], step: Callable[[list[str | None]], list[list]], drop: Callable[[list[list]], list[bool]] | None = None, replace: str | None = None) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], text: str, fields: dict[str, str], step: Callable[[list[str | None]], list[list]], drop: Callable[[list[list]], list[bool]] | None = None, replace: str | None = None, kind: str = "string") -> DataFrame:
     """The kept columns and new ones (name -> Spark type) that step gives for the texts of a slice, column by column.
 
     drop, over those columns, says which rows stay. Where replace names a field, its values take the place of the text
-    and no other field comes out. Narrow: no shuffle, and a lost task is just run again.
+    and no other field comes out. kind="binary" is for columns of bytes. Narrow: no shuffle, and a lost task is just run again.
     """
     importable(df.sparkSession)
     mine = "__text"
     while mine in keep:
         mine += "_"
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(mine))
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast(kind).alias(mine))
     out = T.StructType([*[source.schema[c] for c in keep], *([] if replace else [T.StructField(n, T._parse_datatype_string(k)) for n, k in fields.items()])])
     if replace:
         out = T.StructType([source.schema[c] if c != text else T.StructField(text, T.StringType()) for c in keep])
@@ -88,6 +88,8 @@ def shared_folder(spark) -> str:
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir("tidemark-checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
