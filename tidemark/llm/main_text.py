@@ -3,8 +3,11 @@
 A wrapper is a union-free regular expression over the layout of a host's pages: tags of blocks, fixed texts, text slots,
 optional and repeated groups. All pages of a host are folded into it, pages of one shape first, then shape after shape, in
 each task and then over tasks. Every page is matched against its host's wrapper: a text at a single place that counts over
-all pages of the host confirm is the host's own; other slots and groups are the page's, and lists of element kinds only say
-which of them are no main text. A repeated group that is mostly links is a menu.
+all pages of the host confirm is the host's own, and so is a slot whose texts come again on other pages, as adverts and
+footers do, or, for hosts with few pages, a text that many pages of the table have where such texts stand; a group that is
+mostly links is a menu. What is left is the page's. Element kinds and the names of classes break ties: where there is an
+article or main element its text is taken, unless more text stands outside; an element whose class or id is made up of
+names of side matter counts less than its neighbours, and is taken only where nothing better is there.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import hashlib
 import html
 import json
 import re
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -29,6 +33,10 @@ MOST_UNIT = 12
 LEAST_SHARE, LEAST_PAGES = 0.1, 3
 #: Share of the texts of one path that must be so frequent; else it is a slot of the page's own texts, a title for one, of which some are equal.
 LEAST_OF_PATH = 0.5
+#: Different pages that a slot takes to be judged by its texts, and different pages of the table on which a text makes one of a slot's shared texts.
+LEAST_DIFFERENT, LEAST_SHARED = 4, 3
+#: Level of what is no main text by the kind of its element; each side matter by name adds one.
+NEVER_MAIN = 1000
 #: Long texts that tell whether two pages differ: most of them must.
 TELLING = 3
 #: Shapes of a host and hosts that a task holds before it folds or writes them.
@@ -47,8 +55,11 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 NEVER = set("head nav header footer aside form script style noscript template iframe svg textarea button select option menu dialog object canvas audio video map".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 NOISE = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus dropdown footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus dropdown footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser teasers toolbar topbar widget widgets".split()
 )
+#: Words that say nothing in the name of a class; names of content.
+NEUTRAL = set("area bar block bottom box center container group holder inner item left list outer page panel reader readers right row section site slot top unit user users wrap wrapper".split())
+CONTENT = set("article body content entry main post story text".split())
 MAIN = ("article", "main")
 _CLOSES_P = BLOCK - {"body", "html", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "legend", "summary", "figcaption"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -78,32 +89,40 @@ def tokens(page: str):
             yield "end", tag, ""
 
 
-def _noisy(tag: str, attributes: str) -> tuple[bool, str]:
-    """Whether an element is no part of the main text by its own kind, and its name within paths."""
+def side_matter(name: str) -> bool:
+    """Whether a class or id is made up of names of side matter and words that say nothing."""
+    words = re.findall("[a-z]+", name)
+    return any(w in NOISE for w in words) and all(w in NOISE or w in NEUTRAL for w in words)
+
+
+def _noisy(tag: str, attributes: str) -> tuple[int, str]:
+    """The level that an element adds to its texts, and its name within paths."""
     if tag in NEVER:
-        return True, tag
+        return NEVER_MAIN, tag
     if not attributes.strip():
-        return False, tag
+        return 0, tag
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
-    words = set(re.findall(r"[a-z]+", f"{found.get('class', '')} {found.get('id', '')}"))
-    name = ".".join([tag, *found.get("class", "").split()[:1]])
-    hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    return bool(words & NOISE) and tag not in ("body", "html") or found.get("role") in ROLES or hidden, name
+    classes = found.get("class", "").split()
+    names = [*classes, *found.get("id", "").split()]
+    name = ".".join([tag, *classes[:1]])
+    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or found.get("role") in ROLES:
+        return NEVER_MAIN, name
+    return int(tag not in ("body", "html") and any(map(side_matter, names)) and CONTENT.isdisjoint(names)), name
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], bool]:
-    """(path, text, noise, in main, link) of each run of text that no block boundary splits, a link apart; and whether the page has an article or main element."""
+def blocks(page: str) -> tuple[list[tuple[str, str, int, bool, bool]], bool]:
+    """(path, text, level, in main, link) of each run of text that no block boundary splits, a link apart; and whether the page has an article or main element."""
     found, has_main, _ = layout(page)
     return found, has_main
 
 
-def layout(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], bool, list[tuple]]:
+def layout(page: str) -> tuple[list[tuple[str, str, int, bool, bool]], bool, list[tuple]]:
     """What blocks gives, and the tags of blocks, all closed, with ("text", [number of a run]) between them."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, noise, in main
-    out: list[tuple[str, str, bool, bool, bool]] = []
+    stack: list[tuple[str, str, int, bool]] = []  # tag, path, level, in main
+    out: list[tuple[str, str, int, bool, bool]] = []
     items: list[tuple] = []
     buffer: list[tuple[str, bool]] = []
-    state, has_main = ("", "", False, False), False
+    state, has_main = ("", "", 0, False), False
 
     def flush() -> None:
         if buffer:
@@ -118,7 +137,7 @@ def layout(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], bool, li
         nonlocal state
         items.extend(("tag", "/" + tag) for tag, *_ in reversed(stack[k:]) if tag in BLOCK)
         del stack[k:]
-        state = stack[-1] if stack else ("", "", False, False)
+        state = stack[-1] if stack else ("", "", 0, False)
 
     links = 0
     for kind, what, attributes in tokens(page):
@@ -160,12 +179,12 @@ def layout(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], bool, li
         if what == "a":
             links += 1
         noise, name = _noisy(what, attributes)
-        main = what in MAIN and not noise
-        has_main |= main and not state[2]
+        main = what in MAIN and state[2] + noise < NEVER_MAIN
+        has_main |= main
         if what in BLOCK or noise:
             if noise and what not in BLOCK:
                 flush()
-            state = (what, f"{state[1]}/{name}", state[2] or noise, state[3] or main)
+            state = (what, f"{state[1]}/{name}", state[2] + noise, state[3] or main)
         else:
             state = (what, *state[1:])
         if what in BLOCK:
@@ -321,11 +340,17 @@ def runs_of(item: tuple) -> list[int]:
     return list(item[1]) if item[0] == "text" else [] if item[0] == "tag" else [r for x in item[1] for r in runs_of(x)]
 
 
+def best_level(found: list[tuple], runs: list[int]) -> list[int]:
+    """The runs of the lowest level that there is below NEVER_MAIN."""
+    least = min((found[r][2] for r in runs), default=NEVER_MAIN)
+    return [r for r in runs if found[r][2] == least < NEVER_MAIN]
+
+
 class Template:
-    """A host's wrapper and the hashes of its confirmed texts."""
+    """A host's wrapper, the hashes of its confirmed texts, of its slots that hold texts of the host, and of shared texts at their paths."""
 
-    def __init__(self, wrapper: list[tuple], confirmed: frozenset[int]):
-        self.items, self.confirmed = flat(wrapper), confirmed
+    def __init__(self, wrapper: list[tuple] = (), confirmed: Iterable[int] = (), slots: Iterable[int] = (), shared: Iterable[int] = ()):
+        self.items, self.confirmed, self.slots, self.shared = flat(wrapper), frozenset(confirmed), frozenset(slots), frozenset(shared)
         self.shapes = [shape(x) for x, _ in self.items]
         self.known: dict[tuple, list[bool]] = {}
 
@@ -340,27 +365,35 @@ class Template:
             self.known[shapes] = hit
         return self.known[shapes]
 
+    def of_the_host(self, run: tuple) -> bool:
+        """Whether the text of a run at a single place is no page's own. Within an article only a confirmed text is not."""
+        t = placed(run)
+        return t in self.confirmed or not run[3] and (t in self.shared or bool(self.slots) and text_hash(run[0]) in self.slots)
+
     def extract(self, page: str | None) -> str:
-        """The main text: slots and groups of the wrapper, and what it has no place for, without the kinds of elements that are no main text. Where the page has an article or main element, those within one."""
+        """The main text: slots and groups of the wrapper, and what it has no place for, as the docstring of the module says."""
         found, has_main, items = layout(page or "")
         own = fold(items, together)
-        keep: set[int] = set()
+        keep: list[int] = []
         for item, hit in zip(own, self.matched(tuple(map(shape, own)))):
-            runs = [r for r in runs_of(item) if not found[r][2] and (found[r][3] or not has_main)]
-            if item[0] == "text" and hit and runs and placed(found[runs[0]]) in self.confirmed:
+            runs = [r for r in runs_of(item) if found[r][2] < NEVER_MAIN]
+            if item[0] == "text" and hit and runs and self.of_the_host(found[runs[0]]):
                 continue
-            if not has_main and 2 * sum(len(found[r][1]) for r in runs if found[r][4]) > sum(len(found[r][1]) for r in runs):
-                continue
-            keep.update(runs)
-        return "\n".join(run[1] for r, run in enumerate(found) if r in keep)
+            outside = [r for r in runs if not found[r][3]]
+            if 2 * sum(len(found[r][1]) for r in outside if found[r][4]) > sum(len(found[r][1]) for r in outside):
+                runs = [r for r in runs if found[r][3]]
+            keep += runs
+        chosen = best_level(found, [r for r in keep if found[r][3] or not has_main])
+        if has_main:
+            outside = [r for r in keep if not found[r][3] and not found[r][2] and not found[r][4]]
+            if sum(len(found[r][1]) for r in outside) > sum(len(found[r][1]) for r in chosen):
+                chosen += outside
+        return "\n".join(found[r][1] for r in sorted(chosen))
 
 
-def extract(page: str | None, template: frozenset[str] = frozenset()) -> str:
-    """The main text. With an article or main element, what lies within one; else all that is neither noise, of the template, nor a list of links."""
-    found, has_main = blocks(page or "")
-    if has_main:
-        return "\n".join(text for _, text, noise, main, _ in found if main and not noise)
-    return "\n".join(text for _, text, noise, _, link in found if not noise and not link and text not in template)
+def extract(page: str | None) -> str:
+    """The main text of a page whose host is not known."""
+    return Template().extract(page)
 
 
 def statistics(page: str, found: list[tuple], folded: list[tuple]) -> list[tuple[int, int, int, int]]:
@@ -377,7 +410,7 @@ def statistics(page: str, found: list[tuple], folded: list[tuple]) -> list[tuple
 
 
 def wrappers(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, wrapper, confirmed): the expression of all pages of each host as JSON, and the hashes of its confirmed texts.
+    """(host, wrapper, confirmed, slots, shared): the expression of all pages of each host as JSON, and the hashes that its Template takes.
 
     A text is confirmed by the number of different pages that have it: for each of its pages, what other long texts stand
     there is counted by value, so that near copies count once. Hosts are folded in each task, so that a large one is dealt.
@@ -420,27 +453,34 @@ def wrappers(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     counts = rows.filter("wrapper IS NULL").groupBy(*place, "k", "telling").agg(F.lit(1).alias("x")).groupBy(*place, "k").agg(F.count(F.lit(1)).alias("n"))
     counts = checkpointed(counts.groupBy(*place).agg(F.sort_array(F.collect_list("n"))[TELLING // 2].alias("n")))
     least = counts.filter("t = 0 AND n > 1").select("host", F.greatest(F.least(F.lit(LEAST_PAGES), "n"), F.ceil(F.col("n") * LEAST_SHARE)).alias("least"))
-    frequent = counts.filter("t <> 0").join(least, "host").withColumn("often", F.col("n") >= F.col("least"))
-    own = frequent.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("often"), F.col("n"))).alias("sure"), F.collect_list(F.when(F.col("often"), F.col("t"))).alias("ts"))
-    sure = own.filter(F.col("sure") >= LEAST_OF_PATH * F.col("all")).groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("ts"))).alias("confirmed"))
+    texts = counts.filter("t <> 0")
+    frequent = texts.join(least, "host").withColumn("often", F.col("n") >= F.col("least"))
+    own = frequent.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("often"), F.col("n"))).alias("sure"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("again"), F.collect_list(F.when(F.col("often"), F.col("t"))).alias("ts"))
+    own = own.withColumns({"is_sure": F.col("sure") >= LEAST_OF_PATH * F.col("all"), "is_slot": (F.col("all") >= LEAST_DIFFERENT) & (F.col("again") >= LEAST_OF_PATH * F.col("all"))})
+    sure = own.filter("is_sure OR is_slot").groupBy("host").agg(F.sort_array(F.flatten(F.collect_list(F.when(F.col("is_sure"), F.col("ts"))))).alias("confirmed"), F.sort_array(F.collect_list(F.when(F.col("is_slot"), F.col("path")))).alias("slots"))
+    everywhere = texts.groupBy("path", "t").agg(F.sum("n").alias("n"))
+    common = everywhere.groupBy("path").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= LEAST_SHARED, F.col("n"))).alias("again")).filter(F.col("again") >= LEAST_OF_PATH * F.col("all")).select("path")
+    shared = texts.join(everywhere.filter(F.col("n") >= LEAST_SHARED).join(common, "path", "left_semi"), ["path", "t"], "left_semi").groupBy("host").agg(F.sort_array(F.collect_set("t")).alias("shared"))
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         w = combined([json.loads(x) for x in group["wrapper"]])
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(w, ensure_ascii=False)]})
 
     made = rows.filter("wrapper IS NOT NULL").groupBy("host").applyInPandas(merged, "host string, wrapper string")
-    return made.join(sure, "host", "left").select("host", "wrapper", F.coalesce("confirmed", F.array().cast("array<bigint>")).alias("confirmed"))
+    none = F.array().cast("array<bigint>")
+    return made.join(sure, "host", "left").join(shared, "host", "left").select("host", "wrapper", *[F.coalesce(c, none).alias(c) for c in ("confirmed", "slots", "shared")])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: id, url, text, n_chars. Blocks are joined by line feeds, white space within one is a space.
 
-    A null page counts as empty; pages without a host share one wrapper, and a host with one page confirms no text. Repeated
-    rows all stay and equal pages of a host get equal texts; an empty table gives no rows.
+    A null page counts as empty; pages without a host share one wrapper, and a host with one page confirms no text. Rows that
+    repeat, also under one id, and rows with a null id all stay, and equal pages of a host get equal texts; an empty table
+    gives no rows.
     """
     importable(pages.sparkSession)
     host, page, template = fresh(pages, "__host"), fresh(pages, "__html"), fresh(pages, "__template")
-    known = wrappers(pages, url_col, html_col).select(F.col("host").alias(host), F.to_json(F.struct("wrapper", "confirmed")).alias(template))
+    known = wrappers(pages, url_col, html_col).select(F.col("host").alias(host), F.to_json(F.struct("wrapper", "confirmed", "slots", "shared")).alias(template))
     rows = pages.select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), host_of(F.col(f"`{url_col}`")).alias(host), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias(page))
     known = checkpointed(known)
     size = known.agg(F.sum(F.length(template) + F.length(host) + 64)).first()[0] or 0
@@ -455,11 +495,28 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                     if t not in templates:
                         if len(templates) > 1000:
                             templates.clear()
-                        own = json.loads(t) if t else {"wrapper": "[]", "confirmed": []}
-                        templates[t] = Template([tuple(x) for x in json.loads(own["wrapper"])], frozenset(own["confirmed"]))
+                        own = json.loads(t) if t else {"wrapper": "[]"}
+                        templates[t] = Template(**own | {"wrapper": [tuple(x) for x in json.loads(own["wrapper"])]})
                     got.append(templates[t].extract(p))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     fields = [rows.schema[id_col], rows.schema[url_col]]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "text string, n_chars bigint"])
     return rows.mapInArrow(run, schema)
+
+
+#: Character references that the SQL below decodes, of those with and without a semicolon the longer first.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&quot": '"', "&amp;": "\x02", "&amp": "\x02", "\x02": "&"}
+
+
+def article_sql() -> str:
+    """The result in DuckDB's SQL for pages whose main text is the content of one article element without side matter."""
+    decoded = "x"
+    for name, value in REFERENCES.items():
+        decoded = f"replace({decoded}, '{name}', '{value}')"
+    blocks = "|".join(sorted(BLOCK))
+    return rf"""
+WITH a AS (SELECT page_id, url, regexp_extract(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?s)<article>(.*?)(?:</article>|$)', 1) AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '(?i)</?(?:{blocks})(?:\s[^>]*)?>', chr(1), 'g'), '(?i)<br\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split({decoded}, chr(1)), lambda s: trim(regexp_replace(s, '[\s\x0b\x{{a0}}]+', ' ', 'g'))), lambda s: s <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t"""
