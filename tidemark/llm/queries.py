@@ -50,7 +50,14 @@ def op2_language(spark, d):
 
 @query()
 def op3_media(spark, d):
-    return media.media_digest(table(spark, d, "documents"), ["doc_id"])
+    docs = table(spark, d, "documents").withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    return media.media_digest(media.media_columns(docs, ["doc_id", "n_bytes"]), ["doc_id", "n_bytes"])
+
+
+@query(media.SQL)
+def media_payload(spark, d):
+    """The columns of op3_media that do not depend on its container, beside the same in SQL."""
+    return op3_media(spark, d).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
 
 
 @query()
@@ -74,7 +81,7 @@ def op7_surrogates(spark, d):
     return surrogates.replace_personal_data(docs, SURROGATE_KEY, count_into="n_mentions")
 
 
-@query()
+@query(main_text.article_sql())
 def op8_main_text(spark, d):
     return main_text.main_text(table(spark, d, "pages"))
 
@@ -87,6 +94,6 @@ def op9_quality_model(spark, d):
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= quality_model.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
-@query()
+@query(url_templates.sql())
 def op10_url_templates(spark, d):
     return url_templates.filter_urls(table(spark, d, "pages"))

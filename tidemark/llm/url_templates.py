@@ -123,3 +123,38 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     found = judged_templates(rows.select("host", "template", (1 - F.col("allow").cast("int")).alias("label")))
     verdict = F.when(F.col("allow").isNotNull(), F.when(F.col("allow"), "allow").otherwise("block")).when(F.col("rejected"), "block").otherwise("allow")
     return rows.join(found, ["host", "template"], "left").select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
+
+
+def sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The result in DuckDB's SQL; branches are written out instead of hashed."""
+
+    def case(value) -> str:
+        whens = [f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN {value(r)}" for r in sorted(rules, key=lambda r: (-len(r.text), r.text))]
+        return f"CASE {' '.join(whens)} END"
+
+    stem = r"left(s, len(s) - len(regexp_extract(s, '(\.[A-Za-z]{1,5})?$', 1)))"
+    return rf"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, {case(lambda r: f"'{r.text}'")} AS rule, {case(lambda r: str(r.allow).lower())} AS allow FROM u),
+g AS (
+  SELECT *, list_transform(string_split(substr(path, 2), '/'), lambda s: CASE WHEN len({stem}) > 40 OR regexp_matches({stem}, '^[0-9]+$|^[0-9A-Fa-f-]{{8,}}$|[0-9].*-|-.*[0-9]|[0-9]{{4,}}') THEN '*' || regexp_extract(s, '(\.[A-Za-z]{{1,5}})?$', 1) ELSE s END) AS segs
+  FROM r),
+own AS (SELECT host, segs, count(allow) AS n, coalesce(sum(CASE WHEN NOT allow THEN 1 WHEN allow THEN 0 END), 0) AS bad FROM g GROUP BY 1, 2),
+total AS (SELECT coalesce(sum(n), 0) AS all_n, coalesce(sum(bad), 0) AS all_bad FROM own),
+b AS (SELECT host, segs, n, bad, unnest(range(len(segs) + 1)) AS depth FROM own),
+nodes AS (SELECT host, depth, segs[1:depth] AS branch, sum(n) AS n, sum(bad) AS bad FROM b GROUP BY 1, 2, 3 HAVING sum(n) >= {LEAST_LABELLED}),
+t AS (
+  SELECT c.host, c.depth, c.branch, c.n, c.bad, coalesce(p.n, all_n) - c.n AS m, coalesce(p.bad, all_bad) - c.bad AS others
+  FROM nodes c CROSS JOIN total LEFT JOIN nodes p ON p.host = c.host AND p.depth = c.depth - 1 AND p.branch = c.branch[1:c.depth - 1] AND c.depth > 0),
+z AS (SELECT *, (bad + 0.5::DOUBLE) / (n + 1) AS p, (others + 0.5::DOUBLE) / (m + 1) AS q, (bad + others + 1)::DOUBLE / (n + m + 2) AS w FROM t),
+apart AS (SELECT host, depth, branch FROM z WHERE m > 0 AND abs(p - q) / sqrt(w * (1 - w) * (1::DOUBLE / greatest(n, 1) + 1::DOUBLE / greatest(m, 1))) >= {SIMILAR_Z}),
+above AS (SELECT b.host, b.segs, b.n, b.bad, b.depth, apart.branch FROM b JOIN apart ON b.host = apart.host AND b.depth = apart.depth AND b.segs[1:b.depth] = apart.branch),
+pools AS (
+  SELECT host, depth, branch, sum(n) AS n, sum(bad) AS bad FROM (SELECT *, row_number() OVER (PARTITION BY host, segs ORDER BY depth DESC) AS k FROM above) WHERE k = 1 GROUP BY 1, 2, 3 HAVING sum(n) > 0),
+rest AS (SELECT all_n - coalesce((SELECT sum(n) FROM pools), 0) AS rest_n, all_bad - coalesce((SELECT sum(bad) FROM pools), 0) AS rest_bad, (all_bad + 1)::DOUBLE / (all_n + 2) AS prior FROM total),
+judge AS (SELECT a.host, a.segs, p.n, p.bad, row_number() OVER (PARTITION BY a.host, a.segs ORDER BY a.depth DESC) AS k FROM above a JOIN pools p USING (host, depth, branch)),
+f AS (
+  SELECT own.host, own.segs, coalesce(j.n, rest_n) AS n, (coalesce(j.bad, rest_bad) + {PRIOR_WEIGHT}::DOUBLE * prior) / (coalesce(j.n, rest_n) + {PRIOR_WEIGHT}::DOUBLE) AS purity
+  FROM own CROSS JOIN rest LEFT JOIN judge j ON j.host = own.host AND j.segs = own.segs AND j.k = 1)
+SELECT page_id, g.host, path, rule, CASE WHEN allow THEN 'allow' WHEN NOT allow THEN 'block' WHEN purity >= {REJECT} AND n >= {LEAST_LABELLED} THEN 'block' ELSE 'allow' END AS verdict, '/' || array_to_string(g.segs, '/') AS template, purity
+FROM g JOIN f ON f.host = g.host AND f.segs = g.segs"""
