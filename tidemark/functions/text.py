@@ -38,8 +38,10 @@ def trim_unicode(c: Column) -> Column:
 
 
 def sse_delta(data: Column) -> Column:
-    """choices[0].delta.content of a server-sent payload, trimmed; null where there is none."""
-    delta = trim_unicode(F.coalesce(F.get_json_object(data, "$.choices[0].delta.content"), F.lit("")))
+    """choices[0].delta.content of a server-sent payload, trimmed; null where there is none or it is no string."""
+    content = F.try_variant_get(F.try_parse_json(data), "$.choices[0].delta.content", "variant")
+    text = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
+    delta = trim_unicode(F.coalesce(text, F.lit("")))
     return F.when((data != "[DONE]") & (delta != ""), delta)
 
 

@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.errors import InvalidArgument
 from tidemark.operators.aggregates import COUNT, SUM
 from tidemark.operators.windows import Sliding, Window, with_window
 from tidemark.schemas import AGG_KEY
 
 
-def batch_aggregate(metrics: DataFrame, window: Window = Sliding()) -> DataFrame:
-    """By metric and window: sum, min and max of the records' sums; running_count adds their counts, row_count counts them."""
+PARTIALS = ("running_sum", "running_count", "row_count", "min_value", "max_value")
+
+
+def partials() -> list[Column]:
+    """Sum, min and max of the records' sums; running_count adds their counts, row_count counts them. NaN is no min or max."""
     value = F.nanvl(F.col(SUM), F.lit(None))
-    return (
-        with_window(metrics, window)
-        .groupBy(*AGG_KEY)
-        .agg(F.sum(SUM).alias("running_sum"), F.sum(COUNT).alias("running_count"), F.count(F.lit(1)).alias("row_count"), F.min(value).alias("min_value"), F.max(value).alias("max_value"))
-    )
+    made = (F.sum(SUM), F.sum(COUNT), F.count(F.lit(1)), F.min(value), F.max(value))
+    return [c.alias(n) for c, n in zip(made, PARTIALS)]
+
+
+def batch_aggregate(metrics: DataFrame, window: Window = Sliding()) -> DataFrame:
+    """The partials by metric and window."""
+    return with_window(metrics, window).groupBy(*AGG_KEY).agg(*partials())
+
+
+def hopping_aggregate(metrics: DataFrame, window_secs: int, slide_secs: int) -> DataFrame:
+    """The partials by metric and hopping window, in all ceil(window / slide) windows that hold a record: records are combined to panes first, and panes are copied."""
+    if window_secs < 1 or slide_secs < 1:
+        raise InvalidArgument("window and slide take a second at least")
+    pane = math.gcd(window_secs, slide_secs)
+    start = F.col("timestamp") - F.pmod("timestamp", F.lit(pane))
+    panes = metrics.withColumn("pane", start).groupBy("metric_id", "pane").agg(*partials())
+    last = F.col("pane") - F.pmod("pane", F.lit(slide_secs))
+    copies = panes.withColumn("window_start", F.explode(F.transform(F.sequence(F.lit(0), F.lit((window_secs - 1) // slide_secs)), lambda k: last - k * slide_secs)))
+    held = copies.filter(F.col("window_start") + window_secs > F.col("pane")).withColumn("window_end", F.col("window_start") + window_secs)
+    return merge_state(held)
 
 
 def merge_state(*states: DataFrame) -> DataFrame:

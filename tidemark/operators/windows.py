@@ -2,7 +2,8 @@
 
 Every row lies in exactly one window: a sliding window is assigned by its slide
 alone, so nothing fans out and the windowed aggregates keep Spark's map-side
-combine. hopping() is the separate operator that copies rows to all windows.
+combine. hopping() is the separate operator that copies rows to all windows;
+state.hopping_aggregate() copies aggregates instead.
 """
 
 from __future__ import annotations
@@ -36,6 +37,14 @@ class Fixed:
         if self.secs < 1:
             raise InvalidArgument("a window takes a second at least")
 
+    @property
+    def bucket_secs(self) -> int:
+        return self.secs
+
+    @property
+    def length_secs(self) -> int:
+        return self.secs
+
     def bounds(self, ts: Column) -> tuple[Column, Column]:
         start = _bucket(ts, self.secs)
         return start, start + F.lit(self.secs)
@@ -50,6 +59,15 @@ class Sliding:
         if self.window_secs < 1 or self.slide_secs < 1:
             raise InvalidArgument("window and slide take a second at least")
 
+    @property
+    def bucket_secs(self) -> int:
+        """Seconds whose rows share a window."""
+        return self.slide_secs
+
+    @property
+    def length_secs(self) -> int:
+        return self.window_secs
+
     def bounds(self, ts: Column) -> tuple[Column, Column]:
         start = _bucket(ts, self.slide_secs)
         return start, start + F.lit(self.window_secs)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.errors import Internal
+from tidemark.errors import Internal, InvalidArgument
 from tidemark.operators import inflight, state
-from tidemark.operators.windows import Sliding, Window
+from tidemark.operators.windows import NoWindow, Sliding, Window
 from tidemark.schemas import AGG_SCHEMA
 from tidemark.sources.versioned import VersionedTable
 
@@ -16,7 +17,9 @@ from tidemark.sources.versioned import VersionedTable
 def process_stream(messages: DataFrame, sink, checkpoint: str, timestamp=None, tools=None, on_empty: str = "error", available_now: bool = True) -> StreamingQuery:
     """Classifies each micro-batch and gives sink(messages, metrics, batch_id) both frames. The first error ends the query; batches before it stay.
 
-    tools(gated) is called, on the driver, with the gated rows' frame and returns it with tool_response; it runs before the metrics go out, and may run again for a batch that is retried.
+    tools(gated) is called, on the driver, with the gated rows' frame and returns it with tool_response. The batch with its
+    responses is worked out, once, and held before the sink is called, so that a message whose tool fails has no metric. A
+    batch that is retried calls its tools again.
     """
     stamp = F.unix_seconds(F.current_timestamp()) if timestamp is None else timestamp
 
@@ -27,21 +30,35 @@ def process_stream(messages: DataFrame, sink, checkpoint: str, timestamp=None, t
             found = found.withColumn("tool_response", F.lit(None).cast("string"))
         else:
             found = tools(found.filter(gate)).unionByName(found.filter(~gate), allowMissingColumns=True)
-        metrics = inflight.to_metrics(found, stamp)
+        found = found.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            sink(found, metrics, batch_id)
-        except Exception as e:
-            raise Internal(f"Failed to ingest metric: {e}") from e
+            found.count()  # fills the held batch, all columns of it
+            metrics = inflight.to_metrics(found, stamp)
+            try:
+                sink(found, metrics, batch_id)
+            except Exception as e:
+                raise Internal(f"Failed to ingest metric: {e}") from e
+        finally:
+            found.unpersist()
 
     writer = messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def running_state(metrics: DataFrame, window: Window = Sliding(), watermark: str | None = None) -> DataFrame:
-    """The windowed state as a streaming aggregate, for update or complete mode. With a watermark (on the event time), finished windows leave the state."""
-    if watermark:
-        metrics = metrics.withColumn("event_time", F.timestamp_seconds("timestamp")).withWatermark("event_time", watermark)
-    return state.batch_aggregate(metrics, window)
+    """The windowed state as a streaming aggregate, for update or complete mode.
+
+    With a watermark on the event time, for append mode too: buckets that it has passed leave the state, and rows that come
+    later than it allows go. Buckets are then counted down from the epoch, also before it.
+    """
+    if not watermark:
+        return state.batch_aggregate(metrics, window)
+    if isinstance(window, NoWindow):
+        raise InvalidArgument("a watermark needs a window")
+    timed = metrics.withColumn("event_time", F.timestamp_seconds("timestamp")).withWatermark("event_time", watermark)
+    bucket = F.window("event_time", f"{window.bucket_secs} seconds")
+    start = F.unix_seconds("bucket.start")
+    return timed.groupBy("metric_id", bucket.alias("bucket")).agg(*state.partials()).select("metric_id", start.alias("window_start"), (start + window.length_secs).alias("window_end"), *state.PARTIALS)
 
 
 def windowed_counts(events: DataFrame, ts: str, size: str, keys: list[str], watermark: str = "1 day") -> DataFrame:
