@@ -14,7 +14,7 @@ from tidemark.sources.scans import scan
 
 @dataclass
 class TieredReader:
-    """load() gives the whole cold table. The hot tier holds every row from its low-water mark on, on memory and disk of the executors."""
+    """load() gives the cold table. The hot tier holds every row from its low-water mark on, on memory and disk of the executors."""
 
     load: Callable[[], DataFrame]
     config: CacheConfig = field(default_factory=CacheConfig)

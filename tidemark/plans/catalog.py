@@ -14,6 +14,8 @@ from tidemark.errors import AlreadyExists, InvalidArgument, NotFound
 from tidemark.operators import windows as W
 from tidemark.operators.aggregates import AggregateFunction, GroupBy, aggregate
 from tidemark.schemas import spark_schema
+from tidemark.settings import Settings
+from tidemark.sources import jdbc
 
 
 @dataclass(frozen=True)
@@ -37,10 +39,10 @@ class AggregationView:
 
 
 class Catalog:
-    """Tables are DataFrames or catalog tables of the session; views stay lazy plans over them."""
+    """Tables are DataFrames or catalog tables of the session, or with external settings tables of that database; views stay lazy plans over them."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, external: Settings | None = None):
+        self.spark, self.external = spark, external
         self._frames: dict[str, DataFrame] = {}
         self._created: set[str] = set()
         self._views: dict[str, AggregationView] = {}
@@ -54,9 +56,14 @@ class Catalog:
         df.createOrReplaceTempView(name)
 
     def create_table(self, name: str, schema: T.StructType | pa.Schema) -> None:
-        if name in self.list_tables() or self.spark.catalog.tableExists(name):
+        taken = jdbc.exists(self.spark, self.external, name) if self.external else self.spark.catalog.tableExists(name)
+        if name in self.list_tables() or taken:
             raise AlreadyExists(f"table {name}")
-        self.spark.catalog.createTable(name, source="parquet", schema=spark_schema(schema) if isinstance(schema, pa.Schema) else schema)
+        schema = spark_schema(schema) if isinstance(schema, pa.Schema) else schema
+        if self.external:
+            jdbc.create(self.spark, self.external, name, schema)
+        else:
+            self.spark.catalog.createTable(name, source="parquet", schema=schema)
         self._created.add(name)
 
     def insert(self, name: str, df: DataFrame) -> None:
@@ -65,14 +72,17 @@ class Catalog:
             raise NotFound(f"table {name}")
         if len(df.columns) != len(self.schema(name)):
             raise InvalidArgument(f"{len(df.columns)} columns for {len(self.schema(name))} of {name}")
-        df.write.insertInto(name)
+        if self.external:
+            jdbc.append(df.toDF(*self.schema(name).names), self.external, name)
+        else:
+            df.write.insertInto(name)
 
     def table(self, name: str, columns: list[str] | None = None) -> DataFrame:
         """All columns, or exactly the given columns and expressions in their order."""
         if name in self._frames:
             df = self._frames[name]
         elif name in self._created:
-            df = self.spark.table(name)
+            df = jdbc.read(self.spark, self.external, name) if self.external else self.spark.table(name)
         else:
             raise NotFound(f"table {name}")
         return df if columns is None else df.selectExpr(*columns)
@@ -90,7 +100,10 @@ class Catalog:
             self.spark.catalog.dropTempView(name)
         elif name in self._created:
             self._created.remove(name)
-            self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            if self.external:
+                jdbc.execute(self.spark, self.external, [f"DROP TABLE {name}"])
+            else:
+                self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
         else:
             raise NotFound(f"table {name}")
 

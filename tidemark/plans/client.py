@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.errors import InvalidArgument
 from tidemark.functions.text import nanos_to_seconds
 from tidemark.plans.store import MetricsStore
-from tidemark.schemas import METRICS_SCHEMA, from_arrow
+from tidemark.schemas import METRICS_SCHEMA, from_arrow, to_arrow
 from tidemark.settings import Settings
 
 NANOS = 1_000_000_000
+#: Rows of a pandas result.
+MOST_ROWS = 1_000_000
 
 
 @dataclass
@@ -82,11 +85,19 @@ class MetricsClient:
             df = df.withColumn("timestamp", nanos_to_seconds(F.col("timestamp")))
         store.insert(df, on_conflict)
 
-    def query_metrics(self, from_timestamp: int | None = None, to_timestamp: int | None = None, metric_ids: list[str] | None = None) -> pd.DataFrame:
-        """An empty result keeps its columns."""
+    def _found(self, from_timestamp: int | None, to_timestamp: int | None, metric_ids: list[str] | None) -> DataFrame:
         bounds = [None if t is None else int(t) // self.factor for t in (from_timestamp, to_timestamp)]
-        out = self.store.metrics(*bounds, metric_ids)
-        return out.withColumn("timestamp", F.col("timestamp") * self.factor).toPandas()
+        return self.store.metrics(*bounds, metric_ids).withColumn("timestamp", F.col("timestamp") * self.factor)
+
+    def query_metrics(self, from_timestamp: int | None = None, to_timestamp: int | None = None, metric_ids: list[str] | None = None) -> pd.DataFrame:
+        """An empty result keeps its columns; more than MOST_ROWS rows are an error, iter_metrics has no bound."""
+        found = self._found(from_timestamp, to_timestamp, metric_ids)
+        return to_arrow(found, METRICS_SCHEMA, MOST_ROWS).to_pandas()
+
+    def iter_metrics(self, from_timestamp: int | None = None, to_timestamp: int | None = None, metric_ids: list[str] | None = None) -> Iterator[MetricRecord]:
+        """The same records in their order, a partition at a time."""
+        for row in self._found(from_timestamp, to_timestamp, metric_ids).toLocalIterator():
+            yield MetricRecord(**row.asDict())
 
     def get_metrics_window(self, window_seconds: int = 60, as_of: int | None = None) -> pd.DataFrame:
         now = int(time.time()) if as_of is None else as_of

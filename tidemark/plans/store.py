@@ -5,39 +5,37 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as SW
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.errors import AlreadyExists, InvalidArgument
-from tidemark.operators import retention, state
-from tidemark.operators.aggregates import SUM, AggregateFunction, GroupBy, aggregate, time_range
+from tidemark.errors import InvalidArgument
+from tidemark.operators import retention
+from tidemark.operators.aggregates import SUM, AggregateFunction, GroupBy, aggregate
 from tidemark.operators.windows import Sliding, Window
+from tidemark.plans.backends import BACKENDS
 from tidemark.plans.cache import TieredReader
 from tidemark.plans.catalog import Catalog
 from tidemark.plans.sql import Statements
-from tidemark.schemas import AGG_SCHEMA, METRIC_KEY, METRICS_SCHEMA, require_columns
+from tidemark.schemas import METRICS_SCHEMA, require_columns
 from tidemark.settings import Settings
 from tidemark.sources.scans import scan
-from tidemark.sources.versioned import VersionedTable
 
 
 class MetricsStore:
-    """Metrics are partitioned by day. Inserts append partial aggregates to the state table; reading merges them, compact() folds them."""
+    """Settings.engine names the backend: parquet folders under connection, or a database at the JDBC url in it. Inserts append partial aggregates to the state; reading merges them, compact() folds them."""
 
     def __init__(self, spark: SparkSession, settings: Settings = Settings(), window: Window = Sliding(), clock=time.time):
         self.spark, self.settings, self.window, self.clock = spark, settings, window, clock
-        stored = T.StructType([*METRICS_SCHEMA.fields, T.StructField("day", T.LongType())])
-        self._metrics = VersionedTable(spark, f"{settings.connection}/metrics", stored, ("day",))
-        self._state = VersionedTable(spark, f"{settings.connection}/metric_aggregations", AGG_SCHEMA)
-        self.catalog, self.statements = Catalog(spark), Statements(spark)
+        if settings.engine not in BACKENDS:
+            raise InvalidArgument(f"engine {settings.engine!r} is none of {', '.join(BACKENDS)}")
+        self.backend = BACKENDS[settings.engine](spark, settings, window)
+        self.catalog, self.statements = Catalog(spark, settings if settings.engine == "jdbc" else None), Statements(spark)
         self.timer = retention.EvictionTimer(settings.ttl_secs, clock=clock)
-        self.cache = TieredReader(self._metrics.read, settings.cache)
+        self.cache = TieredReader(self.backend.metrics, settings.cache)
         self.init()
 
     def init(self) -> None:
-        """May be called again; registers the built-in tables as they are now."""
-        self.catalog.register("metrics", self._metrics.read().drop("day"), replace=True)
+        """May be called again; repairs the state and registers the built-in tables as they are now."""
+        self.backend.catch_up()
+        self.catalog.register("metrics", self.backend.metrics().select(*METRICS_SCHEMA.names), replace=True)
         self.catalog.register("metric_aggregations", self.state(), replace=True)
 
     def insert(self, records: DataFrame, on_conflict: str = "error", stream: str | None = None, batch_id: int | None = None) -> None:
@@ -45,60 +43,49 @@ class MetricsStore:
         if on_conflict not in ("error", "update"):
             raise InvalidArgument(f"on_conflict: {on_conflict!r}")
         self._evict_if_due()
-        records = require_columns(records, METRICS_SCHEMA)
-        base = self._metrics.version()
-        seen = stream is not None and base.applied.get(stream, -1) >= batch_id
-        ts = F.col("timestamp")
-        records = records.withColumn("day", ((ts - ts % 86400) / 86400).cast("long"))
-        present = self._metrics.read(base)
-        if seen:  # a retry; the state may lack the batch still
-            self._state.append(state.batch_aggregate(records, self.window), stream, batch_id)
-        elif on_conflict == "error":
-            twice = records.groupBy(*METRIC_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-            clash = records.join(present, [*METRIC_KEY, "day"], "left_semi").select(*METRIC_KEY)
-            if not twice.unionByName(clash).isEmpty():
-                raise AlreadyExists("a record with this metric_id and timestamp")
-            self._metrics.append(records, stream, batch_id)
-            self._state.append(state.batch_aggregate(records, self.window), stream, batch_id)
-        else:
-            w = SW.partitionBy(*METRIC_KEY).orderBy(F.desc("value_running_window_count"), F.desc(SUM))
-            new = records.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-            self._metrics.rewrite(present.join(new, [*METRIC_KEY, "day"], "left_anti").select(*new.columns).unionByName(new), base)
-            self.rebuild_state()
+        self.backend.insert(require_columns(records, METRICS_SCHEMA), on_conflict, stream, batch_id)
         self.cache.invalidate()
         self.init()
 
     def rebuild_state(self) -> None:
-        self._state.rewrite(state.batch_aggregate(self._metrics.read(), self.window))
+        self.backend.rebuild_state()
 
     def compact(self) -> None:
-        self._state.rewrite(self.state())
+        self.backend.compact()
+        self.init()
 
     def state(self) -> DataFrame:
-        return state.merge_state(self._state.read())
+        return self.backend.state()
 
     def metrics(self, from_ts: int | None = None, to_ts: int | None = None, metric_ids=None) -> DataFrame:
         self._evict_if_due()
-        return scan(self._metrics.read(), from_ts, to_ts, metric_ids)
+        return scan(self.backend.metrics(from_ts, to_ts), from_ts, to_ts, metric_ids)
 
     def cached_metrics(self, from_ts: int, as_of: int | None = None) -> DataFrame:
         return self.cache.read(from_ts, int(self.clock()) if as_of is None else as_of)
 
+    def query(self, handle: bytes, recent_from: int | None = None, **args) -> DataFrame:
+        """A prepared statement. With recent_from its table metrics holds the records from that time on, read from the hot tier where that covers them."""
+        self.init()
+        if recent_from is not None:
+            self.cached_metrics(recent_from).createOrReplaceTempView("metrics")
+        try:
+            return self.statements.query(handle, **args)
+        finally:
+            if recent_from is not None:
+                self.init()
+
     def aggregate(self, function: AggregateFunction, group_by: GroupBy = GroupBy(), from_ts: int | None = None, to_ts: int | None = None, column: str = SUM) -> DataFrame:
         self._evict_if_due()
-        return aggregate(self._metrics.read(), function, column, group_by, from_ts, to_ts)
+        return aggregate(self.backend.metrics(from_ts, to_ts), function, column, group_by, from_ts, to_ts)
 
-    def evict(self, as_of: int | None = None) -> None:
-        """Deletes expired records and the windows that ended before the cutoff."""
+    def evict(self, as_of: int | None = None, max_rows: int | None = None) -> None:
+        """Deletes expired records and the windows that ended before the cutoff; with max_rows the oldest records, so many at most."""
         as_of = int(self.clock()) if as_of is None else as_of
         limit = retention.cutoff(as_of, self.settings.ttl_secs)
         if limit is None:
             return
-        base = self._metrics.version()
-        present = self._metrics.read(base)
-        if not present.filter(F.col("timestamp") < limit).isEmpty():
-            self._metrics.rewrite(time_range(present, from_ts=limit), base)
-            self._state.rewrite(self.state().filter(F.col("window_end") > limit))
+        self.backend.evict(limit, max_rows)
         self.cache.invalidate()
         self.init()
 

@@ -117,3 +117,11 @@ def require_columns(df, schema: T.StructType):
         if have[field.name] != field.dataType:
             raise InvalidArgument(f"column {field.name}: {have[field.name].simpleString()}, not {field.dataType.simpleString()}")
     return df.select(*[field.name for field in schema])
+
+
+def to_arrow(df, schema: T.StructType = METRICS_SCHEMA, most: int = 1_000_000) -> pa.Table:
+    """The records as an Arrow table on the driver; more than most rows are an error."""
+    table = require_columns(df, schema).limit(most + 1).toArrow()
+    if table.num_rows > most:
+        raise InvalidArgument(f"more than {most} rows; write them to a table instead")
+    return table

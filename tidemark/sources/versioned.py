@@ -1,15 +1,19 @@
 """A parquet table with atomic versions.
 
 Data folders are written once and never changed. A version is a small manifest
-that lists the folders of the table; writing manifest N is the commit. Readers
-keep the version they opened, so a table can be read and rewritten at once.
-All file access goes through Hadoop's file systems.
+that lists the folders of the table, one a write and, where the table is
+partitioned, a partition; writing manifest N is the commit. Readers keep the
+version they opened, so a table can be read and rewritten at once. All file
+access goes through Hadoop's file systems. Two writers at once are safe where a
+rename fails if its target is there, as on HDFS; elsewhere, as on the local file
+system and most object stores, a table takes one writer at a time.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +30,8 @@ class Version:
 
 
 class VersionedTable:
+    """partition_by names whole-number columns; the first of them is what folders are told apart by."""
+
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, partition_by: tuple[str, ...] = ()):
         self.spark, self.path, self.schema, self.partition_by = spark, path.rstrip("/"), schema, partition_by
 
@@ -35,14 +41,16 @@ class VersionedTable:
     def _fs(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self) -> Version:
-        fs, folder = self._fs(), self._path("_versions")
-        if not fs.exists(folder):
-            return Version()
-        names = sorted(n for s in fs.listStatus(folder) if (n := s.getPath().getName()).endswith(".json") and not n.startswith("."))
+    def _names(self, *parts: str) -> list[str]:
+        fs, folder = self._fs(), self._path(*parts)
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def version(self, number: int | None = None) -> Version:
+        """The newest version, or that of a number."""
+        names = [n for n in self._names("_versions") if n.endswith(".json") and not n.startswith(".") and number in (None, int(n[:-5]))]
         if not names:
             return Version()
-        stream = fs.open(self._path("_versions", names[-1]))
+        stream = self._fs().open(self._path("_versions", names[-1]))
         try:
             content = json.loads(bytes(stream.readAllBytes()).decode())
         finally:
@@ -62,19 +70,33 @@ class VersionedTable:
             raise AlreadyExists(f"version {new.number} of {self.path} was committed by another writer")
         return new
 
-    def read(self, version: Version | None = None) -> DataFrame:
-        v = version or self.version()
-        if not v.folders:
+    def partition_of(self, folder: str) -> int:
+        return int(folder.rsplit("=", 1)[1])
+
+    def partitions(self, version: Version | None = None) -> dict[int, list[str]]:
+        """Partition -> its folders."""
+        out: dict[int, list[str]] = {}
+        for f in (version or self.version()).folders:
+            out.setdefault(self.partition_of(f), []).append(f)
+        return out
+
+    def read(self, version: Version | None = None, keep: Callable[[int], bool] | None = None, folders: Iterable[str] | None = None) -> DataFrame:
+        """Of a partitioned table, only the partitions that keep is true for are listed; folders takes those instead of a version's."""
+        found = list((version or self.version()).folders if folders is None else folders)
+        if keep is not None:
+            found = [f for f in found if keep(self.partition_of(f))]
+        if not found:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*[f"{self.path}/{f}" for f in v.folders]).select(*self.schema.names)
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*[f"{self.path}/{f}" for f in found]).select(*self.schema.names)
 
-    def _write(self, df: DataFrame) -> str:
+    def _write(self, df: DataFrame) -> tuple[str, ...]:
         folder = f"data/write={uuid.uuid4().hex}"
         writer = df.select(*self.schema.names).write
-        if self.partition_by:
-            writer = writer.partitionBy(*self.partition_by)
-        writer.parquet(f"{self.path}/{folder}")
-        return folder
+        if not self.partition_by:
+            writer.parquet(f"{self.path}/{folder}")
+            return (folder,)
+        writer.partitionBy(*self.partition_by).parquet(f"{self.path}/{folder}")
+        return tuple(f"{folder}/{n}" for n in self._names(folder) if n.startswith(f"{self.partition_by[0]}="))
 
     def append(self, df: DataFrame, stream: str | None = None, batch_id: int | None = None) -> Version:
         """A batch of a stream that is in the table already is skipped."""
@@ -82,18 +104,23 @@ class VersionedTable:
         if stream is not None and base.applied.get(stream, -1) >= batch_id:
             return base
         applied = base.applied | ({stream: batch_id} if stream is not None else {})
-        return self._commit(base, (*base.folders, self._write(df)), applied)
+        return self._commit(base, (*base.folders, *self._write(df)), applied)
 
-    def rewrite(self, df: DataFrame, base: Version | None = None) -> Version:
+    def rewrite(self, df: DataFrame, base: Version | None = None, applied: dict | None = None) -> Version:
         """df takes the place of everything; it may read this table."""
         base = base or self.version()
-        return self._commit(base, (self._write(df),), base.applied)
+        return self._commit(base, self._write(df), base.applied | (applied or {}))
+
+    def replace(self, gone: Callable[[int], bool], df: DataFrame | None = None, base: Version | None = None, applied: dict | None = None) -> Version:
+        """df, if there is one, takes the place of the partitions that gone is true for; the others are not touched."""
+        base = base or self.version()
+        stay = tuple(f for f in base.folders if not gone(self.partition_of(f)))
+        return self._commit(base, (*stay, *(() if df is None else self._write(df))), base.applied | (applied or {}))
 
     def vacuum(self) -> int:
-        """Deletes the folders that the newest version does not list; not while older versions are being read."""
-        fs, keep, gone = self._fs(), {f.rsplit("/", 1)[1] for f in self.version().folders}, 0
-        if fs.exists(self._path("data")):
-            for s in fs.listStatus(self._path("data")):
-                if s.getPath().getName() not in keep:
-                    gone += fs.delete(s.getPath(), True)
+        """Deletes the folders of writes that the newest version does not list; not while older versions are being read."""
+        fs, keep, gone = self._fs(), {f.split("/")[1] for f in self.version().folders}, 0
+        for name in self._names("data"):
+            if name not in keep:
+                gone += fs.delete(self._path("data", name), True)
         return gone
