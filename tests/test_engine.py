@@ -88,7 +88,7 @@ def test_eviction_and_cache(spark, tmp_path):
     now[0] += 61
     after = s.metrics()
     assert after.filter(F.col("timestamp") < cut + 61).count() == 0 and after.count() < before
-    reader = TieredReader(s._metrics.read, CacheConfig(True, 4000))
+    reader = TieredReader(s.backend.metrics, CacheConfig(True, 4000))
     assert reader.tier(NOW + 3000, NOW + 5000) == "cold"
     assert reader.read(NOW + 3000, NOW + 5000).count() == s.metrics(NOW + 3000).count()
     assert reader.tier(NOW + 3000, NOW + 5000) == "hot" and reader.tier(NOW, NOW + 5000) == "cold"
@@ -242,3 +242,299 @@ def test_aggregate_view_columns(spark):
     c.drop_view("both")
     with pytest.raises(NotFound):
         c.view("both")
+
+
+DAY = 86400
+
+
+def day_rows(days, per_day=3, value=1.0):
+    return [("a", d * DAY + 100 * k, value + k, 1.0, 1) for d in days for k in range(per_day)]
+
+
+def state_rows(df):
+    return sorted(map(tuple, df.select(*AGG_SCHEMA.names).collect()))
+
+
+def test_inserts_and_scans_list_the_days_they_need(spark, tmp_path):
+    s = MetricsStore(spark, Settings(connection=str(tmp_path)))
+    s.insert(records(spark, day_rows(range(100, 110))))
+    assert len(s.backend.table.version().folders) == 10
+    assert {f.split("day=")[1].split("/")[0] for f in s.metrics(105 * DAY, 106 * DAY + 5).inputFiles()} == {"105", "106"}
+    seen = []
+    read = s.backend.table.read
+    s.backend.table.read = lambda *a, **k: seen.append(read(*a, **k)) or seen[-1]
+    s.insert(records(spark, [("b", 103 * DAY, 1.0, 1.0, 1)]))
+    assert {f.split("day=")[1].split("/")[0] for df in seen[:1] for f in df.inputFiles()} == {"103"}
+
+
+@pytest.mark.parametrize("window", [W.Sliding(), W.Fixed(7000), W.Fixed(3 * DAY), W.NoWindow()])
+def test_update_eviction_and_compaction_touch_their_days(spark, tmp_path, window):
+    now = [130.0 * DAY]
+    s = MetricsStore(spark, Settings(connection=str(tmp_path), ttl_secs=20 * DAY), window, clock=lambda: now[0])
+    s.insert(records(spark, day_rows(range(100, 120))))
+    before = set(s.backend.table.version().folders)
+    s.insert(records(spark, day_rows([112], 2, 50.0) + [("c", 112 * DAY, 7.0, 7.0, 1)] * 2), on_conflict="update")
+    assert len(before - set(s.backend.table.version().folders)) == 1
+    whole = lambda: state_rows(state.batch_aggregate(s.metrics().select(*METRICS_SCHEMA.names), window))
+    assert s.metrics().count() == 61 and state_rows(s.state()) == whole()
+    s.insert(records(spark, [("d", 115 * DAY + 5, 1.0, 1.0, 1)]))
+    s.compact()
+    assert len(s.backend.table.version().folders) == 20 and state_rows(s.state()) == whole()
+    kept = set(s.backend.table.version().folders)
+    s.evict(int(130 * DAY + 150))  # before 110 * DAY + 150
+    after = set(s.backend.table.version().folders)
+    assert len(after - kept) == 1 and len(after) == 10
+    assert s.metrics().agg(F.min("timestamp")).first()[0] == 110 * DAY + 200
+    limit = 110 * DAY + 150
+    assert all(r["window_end"] > limit for r in s.state().collect())
+    again = MetricsStore(spark, s.settings, window, clock=lambda: now[0])
+    assert state_rows(again.state()) == state_rows(s.state())
+    s.evict(int(132 * DAY), max_rows=2)
+    assert s.metrics().agg(F.min("timestamp")).first()[0] == 111 * DAY + 100
+    assert s.backend.table.vacuum() and s.metrics().count() > 0
+
+
+def test_state_is_caught_up_after_a_failed_write(spark, tmp_path):
+    s = MetricsStore(spark, Settings(connection=str(tmp_path)))
+    s.insert(records(spark, day_rows([100])), stream="in", batch_id=0)
+
+    def fails(*_, **__):
+        raise OSError("gone")
+
+    s.backend.states.append = fails
+    with pytest.raises(OSError):
+        s.insert(records(spark, day_rows([101])), stream="in", batch_id=1)
+    again = MetricsStore(spark, Settings(connection=str(tmp_path)))
+    want = state_rows(state.batch_aggregate(records(spark, day_rows([100, 101]))))
+    assert state_rows(again.state()) == want
+    again.insert(records(spark, day_rows([101])), stream="in", batch_id=1)  # the retry
+    assert again.metrics().count() == 6 and state_rows(again.state()) == want
+    again.backend.states.replace = fails
+    with pytest.raises(OSError):
+        again.insert(records(spark, day_rows([101], 1, 9.0)), on_conflict="update")
+    assert state_rows(MetricsStore(spark, again.settings).state()) == state_rows(state.batch_aggregate(again.backend.metrics()))
+
+
+def derby(spark, name, **options):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    return Settings(engine="jdbc", connection=f"jdbc:derby:memory:{name};create=true", options=options)
+
+
+def test_database_backend(spark):
+    from tidemark.sources import jdbc
+
+    settings = derby(spark, "backend", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    s = MetricsStore(spark, settings, W.Fixed(DAY))
+    s.insert(records(spark, day_rows(range(100, 104))))
+    for rows in (day_rows([103], 1), [("b", 1, 2.0, 2.0, 1)] * 2):
+        with pytest.raises(AlreadyExists):
+            s.insert(records(spark, rows))
+    assert s.metrics(101 * DAY, 102 * DAY).count() == 4 and s.metrics(metric_ids=["a"]).rdd.getNumPartitions() >= 1
+    assert "PushedFilters: [*IsNotNull(timestamp)" in s.metrics(101 * DAY)._jdf.queryExecution().executedPlan().toString()
+    s.insert(records(spark, day_rows([103], 2, 5.0) + [("b", 5, 1.0, 1.0, 1)]), on_conflict="update")
+    assert s.metrics().count() == 13 and state_rows(s.state()) == state_rows(state.batch_aggregate(s.metrics(), W.Fixed(DAY)))
+    assert [r["value"] for r in s.aggregate(AggregateFunction.MAX, GroupBy(("metric_id",)), from_ts=100 * DAY).collect()] == [6.0]
+    assert spark.table("metrics").count() == 13 and s.query(s.statements.prepare("SELECT count(*) AS n FROM metrics")).first()["n"] == 13
+    s.compact()
+    assert jdbc.rows(spark, settings, "SELECT count(*) AS n FROM metric_aggregations")[0][0] == 5
+    s.backend.evict(101 * DAY)
+    assert s.metrics().count() == 9 and state_rows(s.state()) == state_rows(state.batch_aggregate(s.metrics(), W.Fixed(DAY)))
+    with pytest.raises(Exception, match="NOWHERE"):  # all or nothing
+        jdbc.execute(spark, settings, ["DELETE FROM metrics", "DELETE FROM nowhere"])
+    assert MetricsStore(spark, settings, W.Fixed(DAY)).metrics().count() == 9
+    with pytest.raises(InvalidArgument):
+        MetricsStore(spark, Settings(engine="other"))
+
+
+def test_database_catalog(spark):
+    c = Catalog(spark, derby(spark, "catalog"))
+    schema = pa.schema([("id", pa.int64()), ("v", pa.float64()), ("s", pa.string())])
+    c.create_table("kept", schema)
+    c.insert("kept", spark.createDataFrame([(1, 2.0, None), (1, 3.0, "x")], "a bigint, b double, c string"))
+    assert sorted(tuple(r) for r in c.table("kept", ["v", "s"]).collect()) == [(2.0, None), (3.0, "x")]
+    with pytest.raises(AlreadyExists):
+        c.create_table("kept", schema)
+    from tidemark.plans.catalog import AggregationView
+
+    name = c.create_view(AggregationView("kept", AggregateFunction.SUM, GroupBy(("id",)), W.NoWindow(), ("v",)))
+    assert [tuple(r) for r in spark.table(name).collect()] == [(1, 5.0)]
+    c.drop_view(name)
+    c.drop_table("kept")
+    c.create_table("kept", schema)
+    assert c.table("kept").count() == 0
+
+
+def test_store_accessors(spark, tmp_path):
+    s = MetricsStore(spark, Settings(connection=str(tmp_path), cache=CacheConfig(True, 2 * DAY)), clock=lambda: 120.0 * DAY)
+    s.insert(records(spark, day_rows(range(110, 120))))
+    assert {"metrics", "metric_aggregations"} <= set(s.catalog.list_tables())
+    assert [r["value"] for r in s.aggregate(AggregateFunction.SUM, GroupBy(("metric_id",)), 118 * DAY).collect()] == [12.0]
+    count = s.statements.prepare("SELECT count(*) AS n FROM metrics")
+    assert s.query(count).first()["n"] == 30
+    hot = s.query(count, recent_from=119 * DAY)
+    assert hot.first()["n"] == 3 and s.cache.tier(119 * DAY, 120 * DAY) == "hot"
+    assert "InMemoryTableScan" in hot._jdf.queryExecution().executedPlan().toString()
+    assert s.query(count).first()["n"] == 30
+
+
+def test_arrow_and_row_results_of_the_client(spark, tmp_path):
+    from tidemark.schemas import require_columns, to_arrow
+
+    with MetricsClient(spark, Settings(connection=str(tmp_path))) as c:
+        c.set_metrics([MetricRecordLike(i) for i in range(3)])
+        assert [r.timestamp for r in c.iter_metrics(NOW + 1)] == [NOW + 1, NOW + 2]
+        table = to_arrow(c.store.metrics())
+        assert table.column_names == METRICS_SCHEMA.names and table.num_rows == 3 and table.schema.field("timestamp").type == pa.int64()
+        with pytest.raises(InvalidArgument, match="more than 2"):
+            to_arrow(c.store.metrics(), most=2)
+        c.set_metrics(table.set_column(1, "timestamp", pa.array([1, 2, 3], pa.int64())))
+        assert len(c.query_metrics()) == 6
+    with pytest.raises(InvalidArgument, match="missing column: timestamp"):
+        require_columns(spark.createDataFrame([("a",)], "metric_id string"), METRICS_SCHEMA)
+    with pytest.raises(InvalidArgument, match="column timestamp: string, not bigint"):
+        require_columns(spark.createDataFrame([("a", "x")], "metric_id string, timestamp string"), METRICS_SCHEMA)
+
+
+def MetricRecordLike(i):
+    from tidemark.plans.client import MetricRecord
+
+    return MetricRecord.setting(f"m{i}", 2.0, 5, NOW + i)
+
+
+def test_nan_is_no_extreme(spark):
+    from tidemark.operators.aggregates import apply_function
+
+    nan = float("nan")
+    df = records(spark, [("a", 1, nan, 1.0, 1), ("a", 2, 3.0, 1.0, 1), ("b", 3, nan, 1.0, 1)])
+    assert [apply_function(df, f).first()[0] for f in (AggregateFunction.MIN, AggregateFunction.MAX)] == [3.0, 3.0]
+    got = {r["metric_id"]: (r["min_value"], r["max_value"]) for r in state.batch_aggregate(df, W.NoWindow()).collect()}
+    assert got == {"a": (3.0, 3.0), "b": (None, None)}
+
+
+def test_bounded_eviction(spark):
+    from tidemark.operators.retention import evicted
+
+    df = records(spark, day_rows(range(100, 110)))
+    assert [r["timestamp"] for r in evicted(df, 120 * DAY, 12 * DAY, max_rows=4).collect()] == [100 * DAY, 100 * DAY + 100, 100 * DAY + 200, 101 * DAY]
+    assert evicted(df, 120 * DAY, None, max_rows=4).count() == 0
+
+
+def test_payloads_that_are_no_text(spark):
+    from tidemark.functions.text import sse_delta
+
+    payload = lambda c: '{"choices":[{"delta":{"content":%s}}]}' % c
+    rows = [(i, x) for i, x in enumerate([payload('" a "'), payload("7"), payload('{"b":1}'), payload("null"), payload("true"), "[DONE]", "{", None, payload('"5"')])]
+    got = {r["i"]: r["x"] for r in spark.createDataFrame(rows, "i int, data string").select("i", sse_delta(F.col("data")).alias("x")).collect()}
+    assert got == {0: "a", 8: "5"} | dict.fromkeys(range(1, 8))
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7, 50])
+def test_running_windows_do_not_depend_on_their_parts(spark, monkeypatch, rows):
+    from pyspark.sql import Window
+
+    from tidemark.operators import running
+
+    rng = random.Random(rows)
+    data = [(i, m, rng.randint(-3 * DAY, 3 * DAY) if i % 3 else 5000, float(rng.randint(0, 9)) if i % 7 else None) for i, m in enumerate(rng.choices("aab", k=400))]
+    df = spark.createDataFrame(data, "id int, metric_id string, timestamp bigint, value double")
+    whole = lambda frame: sorted(map(tuple, df.select("*", F.sum("value").over(frame).alias("s"), F.avg("value").over(frame).alias("a"), F.count("value").over(frame).alias("c")).collect()))
+    by = Window.partitionBy("metric_id")
+    assert sorted(map(tuple, running.running_rows(df, rows, order=("timestamp", "id"), chunk=16).collect())) == whole(by.orderBy("timestamp", "id").rowsBetween(1 - rows, 0))
+    monkeypatch.setattr(running, "SLOT_SECS", 1000)
+    monkeypatch.setattr(running, "SLOT_FRAMES", 1)
+    assert sorted(map(tuple, running.running_range(df, rows * 100).collect())) == whole(by.orderBy("timestamp").rangeBetween(-rows * 100, 0))
+
+
+@pytest.mark.parametrize("size", [(60, 60), (3600, 900), (100, 30), (100, 70)])
+def test_hopping_aggregates_of_panes(spark, size):
+    df = records(spark, [("a", t, 1.0, 1.0, 2) for t in range(-500, 500, 7)])
+    keys = ("metric_id", "window_start", "window_end")
+    want = W.hopping(df, *size).groupBy(*keys).agg(F.sum("value_running_window_sum"), F.count(F.lit(1))).collect()
+    got = state.hopping_aggregate(df, *size).select(*keys, "running_sum", "row_count").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_a_failing_tool_stops_the_metric(spark, tmp_path):
+    def tool(gated):
+        return gated.withColumn("tool_response", F.raise_error(F.lit("tool is down")).cast("string"))
+
+    seen = []
+    textstream.register(spark)
+    source = spark.readStream.format("text_list").option("messages", json.dumps(["fine", "URGENT: weather"])).load()
+    q = runner.process_stream(source, lambda m, x, i: seen.extend(x.collect()), str(tmp_path / "ck"), F.lit(NOW), tools=tool, available_now=False)
+    with pytest.raises(Exception, match="tool is down"):
+        q.processAllAvailable()
+    q.stop()
+    assert seen == []
+
+
+def test_a_tool_runs_once_a_batch(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def tool(gated):
+        def run(batches):
+            for b in batches:
+                calls.add(b.num_rows)
+                yield b.append_column("tool_response", pa.array(["done"] * b.num_rows))
+
+        return gated.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in gated.schema), "tool_response string"]))
+
+    out = []
+    textstream.register(spark)
+    source = spark.readStream.format("text_list").option("messages", json.dumps(["URGENT: weather", "URGENT: meeting", "x"])).load()
+    q = runner.process_stream(source, lambda m, x, i: out.extend([m.count(), x.count(), len(m.collect())]), str(tmp_path / "ck"), F.lit(NOW), tools=tool)
+    q.awaitTermination()
+    assert out == [3, 3, 3] and calls.value == 2
+
+
+def files_in_order(spark, tmp_path, batches):
+    import os
+
+    for k, rows in enumerate(batches):
+        path = str(tmp_path / "in" / str(k))
+        records(spark, rows).coalesce(1).write.parquet(path)
+        for f in os.listdir(path):
+            os.utime(os.path.join(path, f), (1_000_000 + 100 * k,) * 2)
+    return spark.readStream.schema(METRICS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+
+
+#: The watermark that a batch sets drops rows from the next but one on.
+LATE = ([("a", NOW // 60 * 60 + 5, 1.0, 1.0, 1)], [("a", NOW // 60 * 60 + 7200, 2.0, 1.0, 1)], [("b", NOW // 60 * 60 + 7200, 2.0, 1.0, 1)], [("a", NOW // 60 * 60 + 10, 4.0, 1.0, 1), ("a", NOW // 60 * 60 + 7190, 8.0, 1.0, 1)], [("a", NOW // 60 * 60 + 20_000, 16.0, 1.0, 1)])
+
+
+@pytest.mark.parametrize("mode", ["append", "update"])
+def test_watermark_drops_late_rows_and_finished_windows(spark, tmp_path, mode):
+    source = files_in_order(spark, tmp_path, LATE)
+    out = runner.running_state(source, W.Sliding(3600, 60), watermark="10 minutes")
+    q = out.writeStream.outputMode(mode).format("memory").queryName(f"late_{mode}").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    start = NOW // 60 * 60
+    got = sorted((r["window_start"] - start, r["window_end"] - r["window_start"], r["running_sum"]) for r in spark.table(f"late_{mode}").collect())
+    assert [x for x in got if x[0] < 20_000 // 60 * 60] == [(0, 3600, 1.0), (7140, 3600, 8.0), (7200, 3600, 2.0), (7200, 3600, 2.0)]
+    last = q.lastProgress["stateOperators"][0]
+    assert last["numRowsTotal"] <= 1 and sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in q.recentProgress) == 1
+    with pytest.raises(InvalidArgument):
+        runner.running_state(source, W.NoWindow(), watermark="1 minute")
+
+
+def test_late_rows_are_merged_without_a_watermark(spark, tmp_path):
+    source = files_in_order(spark, tmp_path, LATE)
+    runner.upsert_state(source, str(tmp_path / "state"), str(tmp_path / "ck")).awaitTermination()
+    merged = state.merge_state(VersionedTable(spark, str(tmp_path / "state"), AGG_SCHEMA).read())
+    assert state_rows(merged) == state_rows(state.batch_aggregate(records(spark, [r for b in LATE for r in b])))
+    assert max(r["running_count"] for r in merged.collect()) == 2
+
+
+def test_windowed_counts_take_rows_within_the_watermark(spark, tmp_path):
+    rows = [[("2024-01-01 00:00:10", "a"), ("2024-01-01 00:01:10", "a")], [("2024-01-01 00:00:20", "a")], [("2024-01-03 00:00:00", "a")], [("2024-01-03 00:00:01", "a")], [("2024-01-01 00:00:30", "a")]]
+    import os
+
+    for k, part in enumerate(rows):
+        path = str(tmp_path / "in" / str(k))
+        spark.createDataFrame(part, "t string, k string").select(F.col("t").cast("timestamp_ntz").alias("ts"), "k").coalesce(1).write.parquet(path)
+        for f in os.listdir(path):
+            os.utime(os.path.join(path, f), (1_000_000 + 100 * k,) * 2)
+    source = spark.readStream.schema("ts timestamp_ntz, k string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = runner.windowed_counts(source, "ts", "1 minute", ["k"], "1 hour").writeStream.outputMode("append").format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["window_start"] % DAY, r["n"]) for r in spark.table("counted").collect())[:2] == [(0, 2), (60, 1)]

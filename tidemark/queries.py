@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from tidemark.operators.aggregates import AVG, COUNT, SUM, AggregateFunction, Gr
 from tidemark.plans.cache import TieredReader
 from tidemark.plans.catalog import AggregationView, Catalog
 from tidemark.plans.sql import Statements
-from tidemark.settings import CacheConfig
+from tidemark.plans.store import MetricsStore
+from tidemark.settings import CacheConfig, Settings
 from tidemark.sources.events import events_to_metrics
 from tidemark.sources.scans import last_window, scan
 from tidemark.sources.sse import sse_messages
@@ -214,7 +216,33 @@ def window_sliding_agg(spark, d):
 
 @query(M + f"SELECT metric_id, timestamp // 900 * 900 - k * 900 AS window_start, timestamp // 900 * 900 - k * 900 + 3600 AS window_end, round(sum({SUM}), 4) AS total, count(*) AS n FROM metrics, range(4) r(k) GROUP BY ALL")
 def window_hopping_agg(spark, d):
-    return W.hopping(metrics(spark, d), 3600, 900).groupBy("metric_id", "window_start", "window_end").agg(F.round(F.sum(SUM), 4).alias("total"), F.count(F.lit(1)).alias("n"))
+    out = state.hopping_aggregate(metrics(spark, d), 3600, 900)
+    return out.select("metric_id", "window_start", "window_end", F.round("running_sum", 4).alias("total"), F.col("row_count").alias("n"))
+
+
+@query(M + f"SELECT metric_id, timestamp, timestamp // 900 * 900 - k * 900 AS window_start, timestamp // 900 * 900 - k * 900 + 3600 AS window_end FROM metrics, range(4) r(k) WHERE timestamp < {SPLIT}")
+def window_hopping_rows(spark, d):
+    return W.hopping(metrics(spark, d).filter(F.col("timestamp") < SPLIT), 3600, 900).select("metric_id", "timestamp", "window_start", "window_end")
+
+
+_NAN = M + f", n AS (SELECT metric_id, timestamp, CASE WHEN timestamp % 3 = 0 THEN 'NaN'::DOUBLE ELSE {SUM} END AS x FROM metrics) "
+
+
+def _with_nan(df: DataFrame) -> DataFrame:
+    return df.withColumn(SUM, F.when(F.col("timestamp") % 3 == 0, F.lit(float("nan"))).otherwise(F.col(SUM)))
+
+
+@query(_NAN + "SELECT metric_id, timestamp // 3600 * 3600 AS window_start, round(min(x) FILTER (NOT isnan(x)), 4) AS min_value, round(max(x) FILTER (NOT isnan(x)), 4) AS max_value, count(*) AS row_count FROM n GROUP BY 1, 2")
+def agg_state_nan(spark, d):
+    out = state.batch_aggregate(_with_nan(metrics(spark, d)), W.Fixed(HOUR))
+    return rounded(out.select("metric_id", "window_start", "min_value", "max_value", "row_count"), "min_value", "max_value")
+
+
+@query(_NAN + "SELECT round(min(x) FILTER (NOT isnan(x)), 4) AS least, round(max(x) FILTER (NOT isnan(x)), 4) AS most FROM n")
+def apply_min_max_nan(spark, d):
+    m = _with_nan(metrics(spark, d))
+    least, most = (rounded(apply_function(m, f), "value") for f in (AggregateFunction.MIN, AggregateFunction.MAX))
+    return least.withColumnRenamed("value", "least").join(most.withColumnRenamed("value", "most"), how="full")
 
 
 @query(_window_sql("timestamp // 86400 * 86400", "timestamp // 86400 * 86400 + 86400"))
@@ -306,14 +334,15 @@ def lookback_avg_sentiment(spark, d):
     return rounded(average_sentiment(inflight.to_metrics(messages(spark, d), F.col("seq")), 170, 5000), "value")
 
 
-PAYLOADS = ('{"choices":[{"delta":{"content":" Once"}}]}', '{"choices":[{"delta":{}}]}', "not json", "[DONE]", '{"choices":[{"delta":{"content":"  "}}]}')
+# fixed values: payload lines of every kind that the rules tell apart
+PAYLOADS = ('{"choices":[{"delta":{"content":5}}]}', '{"choices":[{"delta":{"content":{"a":"b"}}}]}', '{"choices":[{"delta":{"content":null}}]}', '{"choices":[{"delta":{"content":" Once"}}]}', '{"choices":[{"delta":{}}]}', "not json", "[DONE]", '{"choices":[{"delta":{"content":"  "}}]}')
 _SSE = ", ".join(f"({-1 - i}, '{x}')" for i, x in enumerate(PAYLOADS))
 _DELTA = "json_extract_string(data, '$.choices[0].delta.content')"
 
 
 @query(
     f"WITH l AS (SELECT conv_id * 1000 + turn AS seq, '{{\"choices\":[{{\"delta\":{{\"content\":' || to_json(text)::VARCHAR || '}}}}]}}' AS data FROM conversations UNION ALL SELECT * FROM (VALUES {_SSE}) v(seq, data)), "
-    f"c AS (SELECT seq, CASE WHEN json_valid(data) THEN regexp_replace({_DELTA}, '^\\s+|\\s+$', '', 'g') END AS content FROM l) SELECT seq, content FROM c WHERE content <> ''"
+    f"c AS (SELECT seq, CASE WHEN json_valid(data) AND json_type(data, '$.choices[0].delta.content') = 'VARCHAR' THEN regexp_replace({_DELTA}, '^\\s+|\\s+$', '', 'g') END AS content FROM l) SELECT seq, content FROM c WHERE content <> ''"
 )
 def sse_delta_extract(spark, d):
     payload = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
@@ -355,6 +384,63 @@ def ttl_evicted(spark, d):
     return record(retention.evicted(metrics(spark, d), AS_OF, 10 * DAY))
 
 
+# an external database, here one that lives in the driver
+
+
+def _external(spark) -> Settings:
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    return Settings(engine="jdbc", connection=f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", options={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "string_type": "VARCHAR(200)"})
+
+
+def _external_store(spark, d) -> MetricsStore:
+    store, m = MetricsStore(spark, _external(spark), W.Fixed(DAY)), metrics(spark, d)
+    for part in (m.filter(F.col("timestamp") < SPLIT), m.filter(F.col("timestamp") >= SPLIT)):
+        store.insert(part)
+    return store
+
+
+@query(M + f"SELECT {RECORD} FROM metrics WHERE timestamp BETWEEN {SPLIT} AND {SPLIT + WEEK} AND metric_id IN ('click', 'view')")
+def jdbc_metrics_range(spark, d):
+    return record(_external_store(spark, d).metrics(SPLIT, SPLIT + WEEK, ["click", "view"]))
+
+
+@query(M + f"SELECT metric_id, round(sum({SUM}), 4) AS value FROM metrics WHERE timestamp >= {SPLIT} GROUP BY 1")
+def jdbc_agg_sum(spark, d):
+    return rounded(_external_store(spark, d).aggregate(AggregateFunction.SUM, GroupBy(("metric_id",)), from_ts=SPLIT), "value")
+
+
+@query(_window_sql("timestamp // 86400 * 86400", "timestamp // 86400 * 86400 + 86400"))
+def jdbc_state(spark, d):
+    return _state(_external_store(spark, d).state())
+
+
+@query(M + f"SELECT {RECORD} FROM metrics WHERE timestamp >= {AS_OF - 10 * DAY}")
+def jdbc_evicted(spark, d):
+    store = _external_store(spark, d)
+    store.backend.evict(AS_OF - 10 * DAY)
+    return record(store.metrics())
+
+
+def _external_orders(spark, d) -> Catalog:
+    c, orders = Catalog(spark, _external(spark)), table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("o_time"))
+    c.create_table("user_orders", orders.schema)
+    c.insert("user_orders", orders)
+    return c
+
+
+@query("SELECT o_totalprice, o_orderkey, lower(o_orderstatus) AS status FROM orders WHERE o_totalprice > 100000")
+def jdbc_table_projected(spark, d):
+    return _external_orders(spark, d).table("user_orders", ["o_totalprice", "o_orderkey", "lower(o_orderstatus) AS status"]).filter("o_totalprice > 100000")
+
+
+@query("SELECT o_orderstatus, epoch_us(o_orderdate) // 1000000 // 86400 * 86400 AS window_start, epoch_us(o_orderdate) // 1000000 // 86400 * 86400 + 86400 AS window_end, round(max(o_totalprice), 2) AS value FROM orders GROUP BY ALL")
+def jdbc_view_max(spark, d):
+    c = _external_orders(spark, d)
+    c.register("timed", c.table("user_orders").withColumnRenamed("o_time", "timestamp"), replace=True)
+    view = c.create_view(AggregationView("timed", AggregateFunction.MAX, GroupBy(("o_orderstatus",)), W.Fixed(DAY), ("o_totalprice",)), "max_by_day")
+    return c.view(view).withColumn("value", F.round("value", 2))
+
+
 # plain SQL over the registered tables
 
 
@@ -371,7 +457,7 @@ def _sql(name: str, text: str, oracle: str | None = None, tables: tuple[str, ...
 _sql("sql_passthrough_simple", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value > :least GROUP BY event_type", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE value > 10 GROUP BY event_type", least=10)
 _sql("sql_join_inner", "SELECT c.c_mktsegment, n.n_name, count(*) AS orders, round(sum(o.o_totalprice), 2) AS total FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1, 2", tables=("orders", "customer", "nation"))
 _sql("sql_join_semi", "SELECT c_custkey, c_name FROM customer LEFT SEMI JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F'", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')", ("customer", "orders"))
-_sql("sql_join_anti", "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", ("customer", "orders"))
+_sql("sql_join_anti", "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", ("customer", "orders"))
 _sql(
     "sql_join_asof",
     "SELECT event_id, last(CASE WHEN event_type = 'purchase' THEN value END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY unix_micros(CAST(ts AS timestamp)), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events",
