@@ -15,8 +15,15 @@ _WORD = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
 #: Words that end in two or more of these marks are junk.
 _MARKED = re.compile(r"[#*$%&!]{2}(?=[\x20\x09-\x0D]|$)")
-#: Texts of boilerplate lines, in lower case.
-BOILERPLATE = r"all rights reserved|licensed under|released under the|privacy policy|terms of (?:use|service)|accept (?:all )?cookies|enable javascript|sign in to|log in to|subscribe to our|click here|share this"
+#: Texts of boilerplate lines, in lower case: English, German, French, Spanish.
+BOILERPLATE = "|".join(
+    [
+        r"all rights reserved|licensed under|released under the|privacy policy|terms of (?:use|service)|accept (?:all )?cookies|enable javascript|sign in to|log in to|subscribe to our|click here|share this",
+        r"alle rechte vorbehalten|datenschutzerklärung|allgemeine geschäftsbedingungen|cookies (?:akzeptieren|zulassen)|newsletter abonnieren|hier klicken|jetzt anmelden",
+        r"tous droits réservés|politique de confidentialité|conditions (?:générales )?d[’´]utilisation|accepter (?:tous )?les cookies|cliquez ici|abonnez-vous à",
+        r"todos los derechos reservados|política de privacidad|términos (?:y condiciones )?de uso|aceptar (?:todas )?las cookies|haga clic aquí|suscríbase a",
+    ]
+)
 _BOILERPLATE = re.compile(BOILERPLATE)
 #: Of 100 characters in words, how many a document may lose.
 MOST_LOST = 50
@@ -88,7 +95,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def clean(docs: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
-    """The documents that are kept, with their failing lines removed; all columns stay, and n_chars, if there, follows the text."""
+    """The documents that are kept, with their failing lines removed; all columns stay, and n_chars, if there, follows the text.
+
+    Null and empty texts go, as they have no words; null ids and rows that repeat stay or go by their texts; an empty table stays empty.
+    """
     kept, text = list(FIELDS).index("kept"), docs.columns
     out = map_texts(docs, text, text_col, FIELDS, _judge_all, drop=lambda got: got[kept], replace="clean_text")
     return out.withColumn(n_chars_col, F.length(text_col).cast(docs.schema[n_chars_col].dataType)) if n_chars_col in docs.columns else out
