@@ -157,7 +157,7 @@ def with_statistics(docs: DataFrame, keep: list[str], text_col: str) -> tuple[Da
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> RuleModel:
-    """From the documents that have a label of 0 or 1 and for which learn holds; at most `most` rows."""
+    """From the documents that have a label of 0 or 1 and for which learn holds; at most `most` rows. Null ids have no label; an id with several labels counts with each; without labels the model is a constant."""
     own = labels.select(F.col(id_col), F.col(label_col).alias("__y")).filter(F.col("__y").isin(0, 1))
     if learn is not None:
         own = own.filter(learn)
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
 
 
 def score(docs: DataFrame, model: RuleModel, keep: list[str], text_col: str = "text", into: str = "score") -> DataFrame:
-    """The kept columns and the score; an empty or null text has the statistics of no words. Equal texts score alike."""
+    """The kept columns and the score; an empty or null text has the statistics of no words. Equal texts, repeated rows among them, score alike; null ids are kept; an empty table gives no rows."""
     frame, names = with_statistics(docs, keep, text_col)
     made = model.column({k: F.col(v) for k, v in names.items()})
     return frame.select(*[F.col(f"`{c}`") for c in keep], made.alias(into))
