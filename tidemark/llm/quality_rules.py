@@ -20,7 +20,7 @@ BOILERPLATE = "|".join(
     [
         r"all rights reserved|licensed under|released under the|privacy policy|terms of (?:use|service)|accept (?:all )?cookies|enable javascript|sign in to|log in to|subscribe to our|click here|share this",
         r"alle rechte vorbehalten|datenschutzerklärung|allgemeine geschäftsbedingungen|cookies (?:akzeptieren|zulassen)|newsletter abonnieren|hier klicken|jetzt anmelden",
-        r"tous droits réservés|politique de confidentialité|conditions (?:générales )?d[’´]utilisation|accepter (?:tous )?les cookies|cliquez ici|abonnez-vous à",
+        r"tous droits réservés|politique de confidentialité|conditions (?:générales )?d.utilisation|accepter (?:tous )?les cookies|cliquez ici|abonnez-vous à",
         r"todos los derechos reservados|política de privacidad|términos (?:y condiciones )?de uso|aceptar (?:todas )?las cookies|haga clic aquí|suscríbase a",
     ]
 )
