@@ -55,28 +55,31 @@ PATTERNS = {
     "ipv6": rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}{{1,4}}:){{7}}{_HEX}{{1,4}}|(?=[A-Fa-f:]*[0-9])(?=(?::*{_HEX}){{5}}){_SHORT_IPV6})(?![0-9A-Za-z:])",
     "mac": rf"(?<![0-9A-Za-z:])(?:{_HEX}{{2}}:){{5}}{_HEX}{{2}}(?![0-9A-Za-z:])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "secret": rf"(?<![0-9A-Za-z]){_HEX}{{32,128}}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:gh[pousr]_|sk-)[0-9A-Za-z]{{20,}}|(?<=[=:\" ])(?<=(?:token|secret|password|api_key) ?[=:] ?\"?)[^\s\"]{{8,}}",
+    "secret": rf"(?<![0-9A-Za-z]){_HEX}{{32,128}}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{{16}}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:gh[pousr]_|sk-)[0-9A-Za-z]{{20,}}|(?<=[=:\" ])(?<=[=:] ?\"?)(?<=(?:token|secret|password|api_key) ?[=:] ?\"?)[^\s\"]{{8,}}",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": rf"(?<![0-9])({_CARD})(?![0-9])",
-    "name": rf"(?<!\p{{L}}){_TITLE}{_NAMES}",
+    "name": rf"(?=[MFHSDPГгΚ])(?<!\p{{L}}){_TITLE}{_NAMES}",
 }
 #: Its one group takes numbers that are of the length of a card's and no secret by their context.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _KEYS = ("token", "secret", "password", "api_key")
-#: Entities that may have neither a digit nor any of the other hints.
-_LETTERS_ONLY = rf"A[KS]IA[0-9A-Z]{{16}}|gh[pousr]_|sk-[0-9A-Za-z]{{20}}|{_HEX}{{32}}|{_HEX}:{_HEX}{{1,4}}:"
+#: Signs of entities that may have no digit, each cheap to look for: the start of one title with the rest of any, and runs of hex letters and between colons.
+_TITLE_LIKE = "[" + "".join(sorted({t[0] for t in FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES})) + "](?:" + "|".join(sorted({t[1:] for t in FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES}, key=lambda t: (-len(t), t))) + r")\.? "
+_SIGNS = ("[0-9@]", _TITLE_LIKE, "[A-Fa-f]{32}", f":{_HEX}{{1,4}}:")
+_STARTS = ("AKIA", "ASIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 #: Draws before the check gives up with an error, draws from which names and secrets grow longer, and redrawn entities up to which they go along as a literal.
 MOST_DRAWS, LONGER_FROM, MOST_MOVED = 64, 8, 5_000
 
 
 def hinted(text: Column) -> Column:
     """False for texts that cannot hold an entity; far cheaper than the full pattern."""
-    out = text.rlike("[0-9@]") | text.rlike(rf"(?=[MFHSDPГгΚ])(?<!\p{{L}}){_ONE_TITLE}")
-    out = out | text.rlike(_LETTERS_ONLY)
-    for k in _KEYS:
-        out = out | F.contains(text, F.lit(k))
+    out = F.lit(False)
+    for sign in _SIGNS:
+        out = out | text.rlike(sign)
+    for start in _KEYS + _STARTS:
+        out = out | F.contains(text, F.lit(start))
     return out
 
 
