@@ -42,6 +42,8 @@ TELLING = 3
 #: Shapes of a host and hosts that a task holds before it folds or writes them.
 HELD_SHAPES, HELD_HOSTS = 256, 2000
 
+#: Hosts whose page counts are broadcast at most, of some 50 bytes each; beyond these the counts are joined by host.
+MOST_BROADCAST_HOSTS = 500_000
 #: Characters of all templates that are broadcast at most; beyond these the pages are shuffled.
 MOST_TEMPLATE_CHARS = 16_000_000
 
@@ -454,7 +456,8 @@ def wrappers(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     counts = checkpointed(counts.groupBy(*place).agg(F.sort_array(F.collect_list("n"))[TELLING // 2].alias("n")))
     least = counts.filter("t = 0 AND n > 1").select("host", F.greatest(F.least(F.lit(LEAST_PAGES), "n"), F.ceil(F.col("n") * LEAST_SHARE)).alias("least"))
     texts = counts.filter("t <> 0")
-    frequent = texts.join(least, "host").withColumn("often", F.col("n") >= F.col("least"))
+    least = checkpointed(least)
+    frequent = texts.join(F.broadcast(least) if least.count() <= MOST_BROADCAST_HOSTS else least, "host").withColumn("often", F.col("n") >= F.col("least"))
     own = frequent.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("often"), F.col("n"))).alias("sure"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("again"), F.collect_list(F.when(F.col("often"), F.col("t"))).alias("ts"))
     own = own.withColumns({"is_sure": F.col("sure") >= LEAST_OF_PATH * F.col("all"), "is_slot": (F.col("all") >= LEAST_DIFFERENT) & (F.col("again") >= LEAST_OF_PATH * F.col("all"))})
     sure = own.filter("is_sure OR is_slot").groupBy("host").agg(F.sort_array(F.flatten(F.collect_list(F.when(F.col("is_sure"), F.col("ts"))))).alias("confirmed"), F.sort_array(F.collect_list(F.when(F.col("is_slot"), F.col("path")))).alias("slots"))
