@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, discard, fresh
 
-# Syllables by script, last syllables of first names by script and gender, titles by gender.
+# Syllables of two letters by script, last syllables of first names by script and gender, titles by gender.
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no ra re ri ro".split(),
     "cyrillic": "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со".split(),
@@ -32,7 +32,7 @@ GIVEN_ENDS = {
     ("m", "cyrillic"): "он ор ол ом от од ос ок".split(),
     ("n", "cyrillic"): "не ре ле ме те де се ке".split(),
     ("f", "greek"): "να ρα λα μα τα δα σα κα".split(),
-    ("m", "greek"): "νος ρος λος μος τος δος σος κος".split(),
+    ("m", "greek"): "ος ης ας ις ων ιν ορ ερ".split(),
     ("n", "greek"): "νε ρε λε με τε δε σε κε".split(),
 }
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Dra", "Г-жа", "г-жа", "Κυρία")
@@ -103,9 +103,9 @@ class Keyed:
     def byte(stream: Column, i: Column) -> Column:
         return F.conv(F.substr(stream, F.pmod(i, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
-    def pick(self, stream: Column, i: int, values: list[str]) -> Column:
-        """values has a power of two entries, so all are equally likely."""
-        return F.element_at(F.array(*map(F.lit, values)), self.byte(stream, F.lit(i)) % len(values) + 1)
+    def pick(self, stream: Column, i, syllables: Column, number: int) -> Column:
+        """One of a number of syllables, a power of two, written one after the other."""
+        return F.substr(syllables, self.byte(stream, F.lit(i) if isinstance(i, int) else i) % number * 2 + 1, F.lit(2))
 
     def shaped(self, m: Column, stream: Column, keep: Column, is_hex: Column, is_upper: Column) -> Column:
         """Digit for digit, letter for letter of the same case and script, hex digit for hex digit in hex texts; the first `keep` characters and all others stay. Digits are numbered among themselves, so that spacing changes none."""
@@ -177,21 +177,13 @@ class Keyed:
     def ipv4(self, stream: Column) -> Column:
         return F.concat_ws(".", (self.byte(stream, F.lit(0)) % 223 + 1).cast("string"), *[self.byte(stream, F.lit(i)).cast("string") for i in (1, 2, 3)])
 
-    def word(self, kind: Column, m: Column, stream: Column, nonce: Column) -> Column:
-        """The surrogate of a word of a name: syllables of its script, first names with an ending of the gender; two halves where it has a hyphen; an initial for an initial. Late draws add a syllable each."""
-
-        def of(script: str) -> Column:
-            at = [self.pick(stream, i, SYLLABLES[script]) for i in range(4)]
-            for g in ("f", "m", "n"):
-                at[3] = F.when(kind == f"given_{g}", self.pick(stream, 3, GIVEN_ENDS[g, script])).otherwise(at[3])
-            more = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(nonce - LONGER_FROM, F.lit(0))), lambda i: F.when(i > 0, F.element_at(F.array(*map(F.lit, SYLLABLES[script])), self.byte(stream, i + 8) % len(SYLLABLES[script]) + 1)).otherwise("")), "")
-            front = F.concat(at[0], more, at[1])
-            return F.when(F.contains(m, F.lit("-")), F.concat(F.initcap(front), F.lit("-"), F.initcap(F.concat(at[2], at[3])))).otherwise(F.initcap(F.concat(front, at[2], at[3])))
-
-        made = F.when(m.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(m.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
-        made = F.when((m == F.upper(m)) & (F.length(m) > 1), F.upper(made)).otherwise(made)
-        initial = F.concat(F.upper(F.substr(made, F.lit(1), F.lit(1))), F.lit("."))
-        return F.when(kind == "initial", initial).otherwise(made)
+    @staticmethod
+    def syllables(kind: Column, m: Column) -> tuple[Column, Column]:
+        """The syllables of a word's script, and those that first names of its gender end in."""
+        script = F.when(m.rlike(r"\p{IsCyrillic}"), "cyrillic").when(m.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+        own = F.element_at(F.create_map(*[F.lit(x) for k, v in SYLLABLES.items() for x in (k, "".join(v))]), script)
+        ends = F.element_at(F.create_map(*[F.lit(x) for (g, k), v in GIVEN_ENDS.items() for x in (f"given_{g}{k}", "".join(v))]), F.concat(kind, script))
+        return own, ends
 
     def described(self, ms: Column) -> Column:
         """An array of mentions (m, card) as structs (title, parts), where a part is (m, kind, normal): the words of a name behind their title, or the whole mention. Each step is a transform of its own, so that what it makes is worked out once."""
@@ -213,34 +205,50 @@ class Keyed:
         def seeded(s: Column) -> Column:
             m, kind = s["m"], s["kind"]
             keep = F.when(kind == "phone", F.greatest(F.length(F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)), F.length(F.regexp_extract(m, r"^\+[0-9]", 0)))).when(kind == "iban", 2).when(kind == "secret", F.length(F.regexp_extract(m, "^(?:AKIA|ASIA|gh[pousr]_|sk-)", 0))).otherwise(0)
-            own = {"nonce": nonce(s), "keep": keep, "is_hex": m.rlike(rf"^{_HEX}{{32,}}$|^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "is_upper": m == F.upper(m), "short": F.contains(m, F.lit("::"))}
+            named = F.startswith(kind, F.lit("given")) | kind.isin("family", "initial")
+            own = {"nonce": nonce(s), "keep": keep, "is_hex": m.rlike(rf"^{_HEX}{{32,}}$|^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "is_upper": m == F.upper(m), "named": named}
             return F.struct(m.alias("m"), kind.alias("kind"), s["normal"].alias("normal"), *[c.alias(k) for k, c in own.items()])
 
         def streamed(s: Column) -> Column:
-            names = ("m", "kind", "nonce", "keep", "is_hex", "is_upper", "short")
-            return F.struct(*[s[k].alias(k) for k in names], self.stream(s["kind"], s["normal"], s["nonce"]).alias("stream"))
+            own, ends = self.syllables(s["kind"], s["m"])
+            made = {"stream": self.stream(s["kind"], s["normal"], s["nonce"]), "own": F.when(s["named"], own), "ends": F.when(s["named"] & F.startswith(s["kind"], F.lit("given")), ends)}
+            return F.struct(*[s[k].alias(k) for k in ("m", "kind", "nonce", "keep", "is_hex", "is_upper", "named")], *[c.alias(k) for k, c in made.items()])
 
         def shaped(s: Column) -> Column:
-            own = F.when(s["kind"].isin("ipv6", "mac", "secret", "iban", "phone", "ssn", "card"), self.shaped(s["m"], s["stream"], s["keep"], s["is_hex"], s["is_upper"]))
-            return F.struct(*[s[k].alias(k) for k in ("m", "kind", "nonce", "stream", "short")], own.alias("made"))
+            """For a name its front and its last two syllables; late draws put a syllable each into the front."""
+            stream, own = s["stream"], s["own"]
+            more = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(s["nonce"] - LONGER_FROM, F.lit(0))), lambda i: F.when(i > 0, self.pick(stream, i + 8, own, 32)).otherwise("")), "")
+            front = F.when(s["named"], F.concat(self.pick(stream, 0, own, 32), more, self.pick(stream, 1, own, 32)))
+            rest = F.when(s["named"], F.concat(self.pick(stream, 2, own, 32), F.coalesce(self.pick(stream, 3, s["ends"], 8), self.pick(stream, 3, own, 32))))
+            made = F.when(s["kind"].isin("ipv6", "mac", "secret", "iban", "phone", "ssn", "card"), self.shaped(s["m"], stream, s["keep"], s["is_hex"], s["is_upper"]))
+            return F.struct(*[s[k].alias(k) for k in ("m", "kind", "nonce", "stream", "is_upper", "named")], made.alias("made"), front.alias("front"), rest.alias("rest"))
+
+        def spelled(s: Column) -> Column:
+            """A name of two halves where it has a hyphen."""
+            word = F.when(F.contains(s["m"], F.lit("-")), F.concat(F.initcap(s["front"]), F.lit("-"), F.initcap(s["rest"]))).otherwise(F.initcap(F.concat(s["front"], s["rest"])))
+            return F.struct(*[s[k].alias(k) for k in ("m", "kind", "nonce", "stream", "is_upper", "named", "made")], F.when(s["named"], word).alias("word"))
 
         def one(s: Column) -> Column:
-            kind, m, made = s["kind"], s["m"], s["made"]
+            kind, m, made, word = s["kind"], s["m"], s["made"], s["word"]
             bare = (F.length(F.regexp_replace(m, r"[^\p{L}0-9]", "")) < 8) | (s["nonce"] >= LONGER_FROM)  # a shape with too few values
             return (
-                F.when(kind == "email", self.email(m, s["stream"]))
+                F.when(kind == "initial", F.concat(F.substr(word, F.lit(1), F.lit(1)), F.lit(".")))
+                .when(s["named"], F.when(s["is_upper"] & (F.length(m) > 1), F.upper(word)).otherwise(word))
+                .when(kind == "email", self.email(m, s["stream"]))
                 .when(kind == "ipv4", self.ipv4(s["stream"]))
                 .when(kind == "card", self.card(made))
                 .when(kind == "iban", self.iban(made))
-                .when((kind == "ipv6") & s["short"], self.short_ipv6(m, s["stream"]))
+                .when((kind == "ipv6") & F.contains(m, F.lit("::")), self.short_ipv6(m, s["stream"]))
                 .when((kind == "secret") & bare, F.substr(s["stream"], F.lit(1), F.greatest(F.lit(16), F.least(F.lit(256), F.length(m)))))
                 .when((kind == "phone") & (s["nonce"] >= LONGER_FROM), F.concat(made, F.translate(F.substr(s["stream"], F.lit(101), s["nonce"] - LONGER_FROM + 1), "abcdef", "012345")))
                 .when(kind == "number", m)
-                .when(F.startswith(kind, F.lit("given")) | kind.isin("family", "initial"), self.word(kind, m, s["stream"], s["nonce"]))
                 .otherwise(made)
             )
 
-        return F.transform(F.transform(F.transform(F.transform(parts, seeded), streamed), shaped), one)
+        out = parts
+        for stage in (seeded, streamed, shaped, spelled, one):
+            out = F.transform(out, stage)
+        return out
 
 
 def kind_of(m: Column, card: Column) -> Column:
