@@ -24,14 +24,14 @@ SLICE_ROWS, SLICE_CHARS = 1000, 4_000_000
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, rows: int = SLICE_ROWS, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts (column number text) are bounded in number and in bytes."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, size in enumerate(sizes):
-        if i > start and (i - start >= SLICE_ROWS or held + size > SLICE_CHARS):
+        if i > start and (i - start >= rows or held + size > chars):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += int(size)

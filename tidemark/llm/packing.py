@@ -31,7 +31,9 @@ WINDOW = 1 << 20
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 4096.0
 #: Chunks whose ids a Python worker keeps, some 200 bytes each.
-MOST_CACHED = 1_000_000
+MOST_CACHED = 500_000
+#: Documents and characters that are split into chunks at once.
+SPLIT_ROWS, SPLIT_CHARS = 250, 1_000_000
 
 
 #: A full stop or comma that follows another mark belongs to it.
@@ -188,7 +190,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         id_type = pa.int64()
         for b in batches:
             id_type = b.schema.field(0).type
-            for part in slices(b, 1):
+            for part in slices(b, 1, SPLIT_ROWS, SPLIT_CHARS):
                 full = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
                     p = Piece(row, 0, ids + end)
