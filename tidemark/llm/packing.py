@@ -31,9 +31,9 @@ WINDOW = 1 << 20
 #: Cost of a piece of n tokens: n + n * n / QUADRATIC.
 QUADRATIC = 4096.0
 #: Chunks whose ids a Python worker keeps, some 200 bytes each.
-MOST_CACHED = 500_000
+MOST_CACHED = 1_000_000
 #: Documents and characters that are split into chunks at once.
-SPLIT_ROWS, SPLIT_CHARS = 250, 1_000_000
+SPLIT_ROWS, SPLIT_CHARS = 500, 2_000_000
 
 
 #: A full stop or comma that follows another mark belongs to it.
