@@ -13,6 +13,7 @@ import unicodedata
 import zlib
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +38,7 @@ SPLIT_ROWS, SPLIT_CHARS = 500, 2_000_000
 
 
 #: A full stop or comma that follows another mark belongs to it.
-_MARKS = re.compile(r"(?:[^\w\s]|_)[.,](?=\s)")
+_MARKS = re.compile(r"[.,](?=\s)(?<=[\W_].)(?<!\s.)")
 
 
 class WordTokenizer:
@@ -94,11 +95,10 @@ class WordTokenizer:
         """Little-endian 32-bit ids."""
         odd = {i for i, t in enumerate(texts) if "<|" in t or any(x in t for x in "\x1c\x1d\x1e\x1f\u0130")}  # added tokens; what str.split alone takes for white space; a letter that becomes two, the second a mark
         split = [[] if i in odd else self.split(t) for i, t in enumerate(texts)]
-        seen = set().union(*split)
-        new = [c for c in seen if c not in self.chunks]
+        new = set(filterfalse(self.chunks.__contains__, chain.from_iterable(split)))
         if len(self.chunks) + len(new) > MOST_CACHED:
-            self.chunks = {c: self.chunks[c] for c in seen if c in self.chunks}
-        self._learn(new)
+            self.chunks = {c: self.chunks[c] for c in set(chain.from_iterable(split)) if c not in new}
+        self._learn(list(new))
         get = self.chunks.__getitem__
         return [self.whole(texts[i]) if i in odd else b"".join(map(get, s)) for i, s in enumerate(split)]
 
