@@ -203,7 +203,7 @@ def test_ogg_granules_of_opus_and_chained_streams():
 
 
 def test_ogg_damaged_and_missing_pages(spark):
-    payload = bytes(i * 7 % 256 for i in range(500_000))
+    payload = random.Random(1).randbytes(500_000)
     stored = media.encode(payload)
     (samples, checks) = media.demultiplex(stored)
     at = [m.start() for m in re.finditer(b"OggS", stored)]
