@@ -79,9 +79,9 @@ class PieceCoder:
 
     @staticmethod
     def log_probabilities(scores: list[float | None]) -> list[float | None]:
-        """The scores themselves, or where they are minus 0, 1, 2 and so on, which are the ranks of a merge model, the logarithms that stand for those."""
+        """The scores themselves, or where all are whole numbers, which are the ranks of a merge model with a minus, the logarithms that stand for those."""
         ranks = [-s for s in scores if s is not None]
-        if ranks != list(map(float, range(len(ranks)))):
+        if not all(r >= 0 and r == int(r) for r in ranks):
             return scores
         total = math.log(sum(1 / (r + RANK_OFFSET) for r in ranks))
         return [None if s is None else -math.log(RANK_OFFSET - s) - total for s in scores]
