@@ -29,7 +29,7 @@ UNKNOWN_PENALTY = 10.0
 RANK_OFFSET = 30.0
 LETTER = re.compile(r"[^\W_]")
 #: Segmented units that a Python worker keeps.
-MOST_CACHED = 300_000
+MOST_CACHED = 800_000
 
 
 class Segmented(dict):
