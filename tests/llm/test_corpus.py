@@ -263,6 +263,14 @@ def test_pieces_keep_common_words_whole(spark):
         assert (got[d]["n_ids"], got[d]["ids_crc32"]) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}i", *ids)))
 
 
+def test_pieces_of_words_are_those_of_whole_texts():
+    c, rng = pieces.PieceCoder(), random.Random(3)
+    parts = ["a", "word", " ", "  ", "\n", "\n\n", ".", ",", "é", "☃", "▁", "▁▁", "雪", "x" * 150, "don't", "(", ")", "\t", "ab-c", "12"]
+    for _ in range(5000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert c.encode(text) == [i for unit in c.units.findall(c.sp.normalize(text)) for i in c.segment(unit)]
+
+
 def test_scores_of_a_unigram_model_stay():
     scores = [None, -1.5, -2.0, -2.0, -7.25]
     assert pieces.PieceCoder.log_probabilities(scores) == scores

@@ -28,21 +28,23 @@ UNKNOWN_PENALTY = 10.0
 #: Added to the ranks of a merge model.
 RANK_OFFSET = 30.0
 LETTER = re.compile(r"[^\W_]")
-#: Segmented units that a Python worker keeps.
-MOST_CACHED = 800_000
+#: Words and segmented units that a Python worker keeps, and the longest that it keeps.
+MOST_WORDS, MOST_UNITS, LONGEST_KEPT = 800_000, 400_000, 100
 
 
-class Segmented(dict):
-    """The ids of the units met last, as bytes; a unit that is not there is segmented."""
+class Coded(dict):
+    """The ids of the strings met last, as bytes; one that is not there is coded anew."""
 
-    def __init__(self, segment: Callable[[str], list[int]]):
+    def __init__(self, code: Callable[[str], bytes], most: int):
         super().__init__()
-        self.segment = segment
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= MOST_CACHED:
-            self.clear()
-        ids = self[unit] = array("i", self.segment(unit)).tobytes()
+        self.code, self.most = code, most
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.code(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = ids
         return ids
 
 
@@ -73,7 +75,8 @@ class PieceCoder:
         marks = chars - {SPACE, "\n"} - {b for a, b in pairs if LETTER.fullmatch(a)} - set(filter(LETTER.fullmatch, chars))
         word = f"{SPACE}*{LETTER.pattern}+(?=[{re.escape(''.join(sorted(marks)))}])|" if marks else ""
         self.units = None if inner else re.compile(word + (f"\n+|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if "\n" not in chars else f"{SPACE}*[^{SPACE}]+|{SPACE}+"))
-        self.cached = Segmented(self.segment)
+        self.unit_ids = Coded(lambda unit: array("i", self.segment(unit)).tobytes(), MOST_UNITS)
+        self.word_ids = Coded(lambda word: self.joined_units(SPACE + word), MOST_WORDS)
         utf8 = [p.encode("utf-8", "surrogatepass") for p in self.pieces]
         self.utf8 = [bytes([self.byte_of[i]]) if i in self.byte_of else " ⁇ ".encode() if i == self.unknown else u for i, u in enumerate(utf8)]
 
@@ -120,12 +123,17 @@ class PieceCoder:
                 found.append(self.unknown)
         return found
 
+    def joined_units(self, normal: str) -> bytes:
+        return b"".join(map(self.unit_ids.__getitem__, self.units.findall(normal)))
+
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids as 32-bit integers in the machine's (little-endian) order."""
         normal = self.sp.normalize(text or "")
         if self.units is None:
             return array("i", self.segment(normal)).tobytes()
-        return b"".join(map(self.cached.__getitem__, self.units.findall(normal)))
+        if normal[:1] != SPACE or SPACE * 2 in normal:
+            return self.joined_units(normal)
+        return b"".join(map(self.word_ids.__getitem__, normal[1:].split(SPACE)))  # a unit begins at every single space, so words can be looked up whole
 
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.encode_bytes(text)).tolist()
