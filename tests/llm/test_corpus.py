@@ -75,6 +75,32 @@ def test_near_duplicates_by_brute_force(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == plain.components(docs, 4, 80)
 
 
+def test_near_duplicates_in_small_blocks_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 5)
+    monkeypatch.setattr(near_duplicates, "FIRST_TRIES", 0)
+    test_near_duplicates_by_brute_force(spark)
+
+
+def test_blocks_bring_each_pair_of_components_together_once(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 4)
+    rng = random.Random(4)
+    comp = {c: rng.choice([1] * 12 + [2, 3, 4]) for c in range(60)}
+    rows = [(7, c, 10, len(comp), 600, comp[c]) for c in comp] + [(8, c, 10, 3, 30, comp[c]) for c in (0, 1, 2)]
+    members = spark.createDataFrame(rows, "bucket bigint, cid bigint, n bigint, size bigint, n_all bigint, comp bigint")
+    classes = spark.createDataFrame([(c, 10, b"k", b"s") for c in comp], "cid bigint, n bigint, key binary, sketch binary")
+    blocks = {}
+    for r in near_duplicates.placed(near_duplicates.arranged(members), classes).collect():
+        blocks.setdefault((r["bucket"], r["i"], r["j"]), []).append((r["mine"], r["cid"]))
+    met = Counter()
+    for (bucket, i, j), held in blocks.items():
+        left, right = ({c for m, c in held if m == side} for side in (i, j))
+        met.update({(bucket, *sorted((a, b))) for a in left for b in right if comp[a] != comp[b]})
+    want = {(7, a, b) for a in comp for b in comp if a < b and comp[a] != comp[b]} | {(8, a, b) for a in (0, 1, 2) for b in (0, 1, 2) if a < b and comp[a] != comp[b]}
+    assert set(met) == want and set(met.values()) <= {1}
+    minors = sum(c != 1 for c in comp.values())
+    assert sum(map(len, blocks.values())) <= minors * (len(comp) // 2) + len(comp) * minors // 2
+
+
 def test_one_id_with_several_texts_is_one_document(spark):
     a, b, c = "text a has these five words", "text b is wholly different here", "words of c stand for themselves"
     rows = [(5, a), (6, a), (7, a), (3, b), (5, b), (7, ""), (8, c), (9, c), (9, None)]

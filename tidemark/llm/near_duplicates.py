@@ -2,7 +2,8 @@
 
 Equal sets are one class from the start, so copies cost one row each. In a bucket only its smallest class is tried first
 (hub); classes that are in one component need no further test; what is left in buckets of several components is compared
-in square blocks of bounded size, where the sets themselves lie and only links come out. No step lists all pairs of a group,
+in blocks of bounded size, where the sets themselves lie and only links come out; a large bucket's largest component is not
+compared with itself. No step lists all pairs of a group,
 and no bucket is cut off.
 """
 
@@ -169,11 +170,32 @@ def labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataFr
     return rows.join(own, node, "left").withColumn(into, F.coalesce("__comp", node)).drop("__comp")
 
 
+def arranged(members: DataFrame) -> DataFrame:
+    """Adds how a bucket (bucket, cid, n, comp; its size and n_all) is cut into blocks.
+
+    Classes of its largest component need no comparison among themselves. Where the bucket is larger than a block, only the others
+    (`minor`, dealt over `blocks`) meet each other, and each meets all of the largest component (dealt over `tail`), so the work
+    grows with the product of both and not with the square of the bucket.
+    """
+    parts = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"))
+    major = parts.groupBy("bucket").agg(F.max(F.struct("classes", "comp", "n")).alias("major"))
+    blocks = lambda classes, n: F.ceil(F.greatest(classes / BLOCK, n / BLOCK_SHINGLES)).cast("bigint")
+    whole = blocks(F.col("size"), F.col("n_all")) <= 1
+    return members.join(major, "bucket").select(
+        "bucket", "cid", "comp",
+        (whole | (F.col("comp") != F.col("major.comp"))).alias("minor"),
+        F.when(whole, 1).otherwise(blocks(F.col("size") - F.col("major.classes"), F.col("n_all") - F.col("major.n"))).alias("blocks"),
+        F.when(whole, 0).otherwise(blocks(F.col("major.classes"), F.col("major.n"))).alias("tail"),
+    )
+
+
 def placed(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of all blocks, sorted by block. members: bucket, cid, comp, blocks (of the bucket)."""
-    own = members.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    # a class stands in the row of its block, as a, and in the column, as b; blocks (i, j) with i <= j hold all pairs
-    grid = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    """The rows of all blocks, sorted by block. members: what arranged() gives."""
+    deal = lambda n: F.pmod(F.xxhash64("cid"), n)
+    own = members.withColumn("mine", F.when(F.col("minor"), deal(F.col("blocks"))).otherwise(F.col("blocks") + deal(F.col("tail"))))
+    # a class stands in the row of its block, as a, and in the column, as b; blocks (i, j) with i <= j and i a minor one hold all pairs
+    last = F.col("blocks") - 1 + F.when(F.col("minor"), F.col("tail")).otherwise(0)
+    grid = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     at = grid.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "comp")
     return by_block(at.join(classes.select("cid", "n", "key", "sketch"), "cid"))
 
@@ -349,13 +371,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(second, sure)
 
     # and all that is left: buckets of two classes have one pair, that with the hub; members of larger ones that lie in several components meet in blocks
-    rows = labelled(members.select("bucket", "cid").join(hubs.filter("size > 2").select("bucket", "size", "n_all"), "bucket"), labels, "cid", "comp")
+    rows = labelled(members.join(hubs.filter("size > 2").select("bucket", "size", "n_all"), "bucket"), labels, "cid", "comp")
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    unsettled = rows.join(mixed, "bucket").withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n_all") / BLOCK_SHINGLES)).cast("bigint"))
+    unsettled = checkpointed(rows.join(mixed, "bucket"))
     two = checkpointed(likely(crossing().filter("size = 2").select("a", "b", "weight"), classes, least))
-    inside, outside = linked_in_blocks(unsettled, classes, texts, least, size, percent), confirmed(two, texts, size, percent)
+    inside, outside = linked_in_blocks(arranged(unsettled), classes, texts, least, size, percent), confirmed(two, texts, size, percent)
     grown(inside.union(outside))
-    discard(two, inside, outside)
+    discard(unsettled, two, inside, outside)
 
     # rows of one id with several texts are one document: their classes are linked
     several = checkpointed(base.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi")).filter("lo <> hi").select("id"))
