@@ -89,7 +89,7 @@ def test_blocks_bring_each_pair_of_components_together_once(spark, monkeypatch):
     members = spark.createDataFrame(rows, "bucket bigint, cid bigint, n bigint, size bigint, n_all bigint, comp bigint")
     classes = spark.createDataFrame([(c, 10, b"k", b"s") for c in comp], "cid bigint, n bigint, key binary, sketch binary")
     blocks = {}
-    for r in near_duplicates.placed(near_duplicates.arranged(members), classes).collect():
+    for r in near_duplicates.placed(near_duplicates.arranged(members, near_duplicates.largest(members)), classes).collect():
         blocks.setdefault((r["bucket"], r["i"], r["j"]), []).append((r["mine"], r["cid"]))
     met = Counter()
     for (bucket, i, j), held in blocks.items():

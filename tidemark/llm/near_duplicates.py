@@ -26,7 +26,7 @@ SLACK = 0.13
 BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 #: So many of the best candidates between two components go first; the others follow where these have not joined them.
 FIRST_TRIES = 3
-#: Ids of at most so many texts are broadcast to pick the texts out of the table; more are joined by a shuffle.
+#: At most so many ids of texts, or buckets, are broadcast to join the table or the members; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 
@@ -170,15 +170,21 @@ def labelled(rows: DataFrame, labels: DataFrame, node: str, into: str) -> DataFr
     return rows.join(own, node, "left").withColumn(into, F.coalesce("__comp", node)).drop("__comp")
 
 
-def arranged(members: DataFrame) -> DataFrame:
-    """Adds how a bucket (bucket, cid, n, comp; its size and n_all) is cut into blocks.
+def largest(members: DataFrame) -> DataFrame:
+    """bucket, major: number of classes, name and number of shingles of its largest component. members: bucket, cid, n, comp."""
+    parts = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"))
+    return parts.groupBy("bucket").agg(F.max(F.struct("classes", "comp", "n")).alias("major"))
+
+
+def arranged(members: DataFrame, major: DataFrame) -> DataFrame:
+    """Adds how a bucket (bucket, cid, n, comp; its size and n_all) is cut into blocks. major: what largest() gives, written.
 
     Classes of its largest component need no comparison among themselves. Where the bucket is larger than a block, only the others
     (`minor`, dealt over `blocks`) meet each other, and each meets all of the largest component (dealt over `tail`), so the work
     grows with the product of both and not with the square of the bucket.
     """
-    parts = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n"))
-    major = parts.groupBy("bucket").agg(F.max(F.struct("classes", "comp", "n")).alias("major"))
+    if major.count() <= MOST_BROADCAST:  # else a large bucket is one key of a shuffle, which adaptive execution splits
+        major = F.broadcast(major)
     blocks = lambda classes, n: F.ceil(F.greatest(classes / BLOCK, n / BLOCK_SHINGLES)).cast("bigint")
     whole = blocks(F.col("size"), F.col("n_all")) <= 1
     return members.join(major, "bucket").select(
@@ -374,10 +380,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = labelled(members.join(hubs.filter("size > 2").select("bucket", "size", "n_all"), "bucket"), labels, "cid", "comp")
     mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
     unsettled = checkpointed(rows.join(mixed, "bucket"))
+    major = checkpointed(largest(unsettled))
     two = checkpointed(likely(crossing().filter("size = 2").select("a", "b", "weight"), classes, least))
-    inside, outside = linked_in_blocks(arranged(unsettled), classes, texts, least, size, percent), confirmed(two, texts, size, percent)
+    inside, outside = linked_in_blocks(arranged(unsettled, major), classes, texts, least, size, percent), confirmed(two, texts, size, percent)
     grown(inside.union(outside))
-    discard(unsettled, two, inside, outside)
+    discard(unsettled, major, two, inside, outside)
 
     # rows of one id with several texts are one document: their classes are linked
     several = checkpointed(base.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.xxhash64("key")).alias("lo"), F.max(F.xxhash64("key")).alias("hi")).filter("lo <> hi").select("id"))
