@@ -189,6 +189,20 @@ def test_ogg_round_trip_and_damage():
             media.decode(bytes(broken))
 
 
+def test_ogg_positions_are_whole_numbers():
+    sizes = [64_064, 65_216, 128_128]  # as seconds times the rate, each is off by a part of a sample
+    assert all(n / media.RATE * media.RATE != n for n in sizes)
+    for n in sizes:
+        d = media.decode(media.encode(media.padded("a" * (n - 1))))
+        assert len(d.payload) == n and d.timestamps[-1] == n / media.RATE
+    stored = media.encode(bytes(64))
+    at = stored.rindex(b"OggS", 0, stored.rindex(b"OggS"))  # the page of the samples, one sample short
+    page = stored[at : stored.rindex(b"OggS")]
+    page = page[:6] + struct.pack("<q", 63) + page[14:22] + b"\0\0\0\0" + page[26:]
+    with pytest.raises(media.BadMedia, match="granule"):
+        media.decode(stored[:at] + page[:22] + struct.pack("<I", media.page_crc(page)) + page[26:] + stored[at + len(page) :])
+
+
 def test_ogg_checksum_by_bits():
     def slow(data):
         crc = 0

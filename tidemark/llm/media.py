@@ -185,8 +185,8 @@ class Decoded:
     pages: int
 
 
-def timestamps(s: Stream) -> tuple[int, list[float]]:
-    """Rate and seconds at the end of each packet but the headers; (0, []) for a codec that is not known here."""
+def positions(s: Stream) -> tuple[int, list[int]]:
+    """Rate and the number of samples up to the end of each packet but the headers; (0, []) for a codec that is not known here."""
     head = s.packets[0] if s.packets else b""
     if head.startswith(PCM):
         rate, headers, duration, skip = struct.unpack_from("<I", head, len(PCM))[0], 1, len, 0
@@ -195,7 +195,13 @@ def timestamps(s: Stream) -> tuple[int, list[float]]:
     else:
         return 0, []
     own = Stream(s.serial, s.packets[headers:], [(g, n - headers, last) for g, n, last in s.marks if n > headers])
-    return rate, [max(0, t - skip) / rate for t in own.times(duration)]
+    return rate, [max(0, t - skip) for t in own.times(duration)]
+
+
+def timestamps(s: Stream) -> tuple[int, list[float]]:
+    """Rate and seconds at the end of each packet but the headers; (0, []) for a codec that is not known here."""
+    rate, ends = positions(s)
+    return rate, [n / rate for n in ends]
 
 
 def decode(media: bytes) -> Decoded:
@@ -209,11 +215,11 @@ def decode(media: bytes) -> Decoded:
     data = samples.packets[1:]
     if [struct.pack("<I", zlib.crc32(p)) for p in data] != checks.packets[1:]:
         raise BadMedia("the check stream disagrees")
-    rate, times = timestamps(samples)
+    rate, ends = positions(samples)
     payload = b"".join(data)
-    if len(payload) != length or [t * rate for t in times] != np.cumsum([len(p) for p in data]).tolist():
+    if len(payload) != length or ends != list(accumulate(map(len, data))):  # whole numbers: seconds times the rate need not give them again
         raise BadMedia("granule positions disagree with the samples")
-    return Decoded(payload, rate, times, samples.pages + checks.pages)
+    return Decoded(payload, rate, [n / rate for n in ends], samples.pages + checks.pages)
 
 
 def features(d: Decoded) -> str:
