@@ -177,6 +177,22 @@ def test_rules_as_columns_match(spark):
     assert np.allclose(got, m.scores(x)) and m.rules
 
 
+def test_many_rules_are_no_deep_expression(spark):
+    most = quality_model.TREES * (2 ** (quality_model.DEPTH + 1) - 2)  # paths of all trees
+    x = np.random.default_rng(1).integers(0, 4, (200, len(quality_model.FEATURES))).astype(float)
+    rules = tuple((tuple(((r * 5 + k) % x.shape[1], bool((r >> k) & 1), float((r + k) % 3)) for k in range(quality_model.DEPTH)), (r % 17 - 8) / 40) for r in range(most))
+    for n in (0, 1, 2, 7, most):
+        m = quality_model.RuleModel(quality_model.FEATURES, 0.25, rules[:n])
+        frame = spark.createDataFrame(x.tolist(), list(quality_model.FEATURES))
+        got = [r["s"] for r in frame.select(m.column({k: F.col(k) for k in quality_model.FEATURES}).alias("s")).collect()]
+        assert np.allclose(got, m.scores(x), rtol=0, atol=1e-12)
+    texts = ["", "a", "one two", "one, two, three.", "FOUR FIVE!! | |", "6 7 8 9", "# $ % &", "a a a a\n\nb b b", "word " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    scores = m.scores(np.array([quality_model.statistics(t) for t in texts]))
+    want = set(np.flatnonzero(scores > scores.mean()).tolist())
+    assert 0 < len(want) < len(texts) and {r["doc_id"] for r in quality_model.accepted(docs, m, threshold=float(scores.mean())).collect()} == want
+
+
 def test_ogg_round_trip_and_damage():
     for size in (64, 8192, 70_016):
         payload = bytes(i * 7 % 256 for i in range(size))

@@ -57,14 +57,16 @@ class RuleModel:
 
     def column(self, value: dict[str, Column]) -> Column:
         """The score from the columns of the statistics."""
-        z = F.lit(self.intercept)
+        terms = [F.lit(self.intercept)]
         for conditions, weight in self.rules:
             held = F.lit(True)
             for f, over, cut in conditions:
                 c = value[self.features[f]]
                 held = held & (c > cut if over else c <= cut)
-            z = z + F.when(held, F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+            terms.append(F.when(held, F.lit(weight)).otherwise(F.lit(0.0)))
+        while len(terms) > 1:  # in pairs: a chain as deep as there are rules overflows the driver's stack
+            terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) & ~1 :]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = np.full(len(x), self.intercept)
