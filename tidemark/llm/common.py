@@ -55,6 +55,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: dict[str, str],
     names, kinds, at = list(fields), [ARROW[k] for k in fields.values()], len(keep)
 
     def run(batches):
+        let_go()
         for batch in batches:
             for part in slices(batch, at):
                 got = step(part.column(at).to_pylist())
@@ -69,6 +70,20 @@ def map_texts(df: DataFrame, keep: list[str], text: str, fields: dict[str, str],
     return source.mapInArrow(run, out)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, clear: Callable[[], None]) -> None:
+    """Names what this Python worker keeps between the tasks of one operator, and how it is let go."""
+    _held[name] = clear
+
+
+def let_go() -> None:
+    """A worker that goes on to another operator gives back what the one before has kept."""
+    while _held:
+        _held.popitem()[1]()
+
+
 def crc_mod(doc_id: Column, n: int, r: int) -> Column:
     """Whether crc32 of the id's text leaves remainder r; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % n == r, F.lit(False))

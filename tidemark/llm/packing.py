@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ARROW, fresh, importable, slices
+from tidemark.llm.common import ARROW, fresh, hold, importable, slices
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY, END_ID = 4096, 2
@@ -97,7 +97,9 @@ class WordTokenizer:
         split = [[] if i in odd else self.split(t) for i, t in enumerate(texts)]
         new = set(filterfalse(self.chunks.__contains__, chain.from_iterable(split)))
         if len(self.chunks) + len(new) > MOST_CACHED:
-            self.chunks = {c: self.chunks[c] for c in set(chain.from_iterable(split)) if c not in new}
+            stay = {c: self.chunks[c] for c in set(chain.from_iterable(split)) if c not in new}
+            self.chunks.clear()
+            self.chunks.update(stay)
         self._learn(list(new))
         get = self.chunks.__getitem__
         return [self.whole(texts[i]) if i in odd else b"".join(map(get, s)) for i, s in enumerate(split)]
@@ -169,6 +171,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         coder, end = tokenizer(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        hold("packing", coder.chunks.clear)
         number, base = 0, TaskContext.get().partitionId() << 40
         waiting: list[Piece] = []
         held, row, known = 0, 0, {}  # known: row -> (id, tokens) of documents with waiting pieces
