@@ -1,6 +1,7 @@
 """Store, catalog, client, settings, retention and streams on literal rows."""
 
 import json
+import os
 import random
 
 import pyarrow as pa
@@ -364,6 +365,45 @@ def test_database_catalog(spark):
     assert c.table("kept").count() == 0
 
 
+ON_A_CLUSTER = """
+import json, sys
+sys.path[:0] = [{repo!r}]
+from pyspark.sql import SparkSession
+from tidemark import queries
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map={conf!r}).getOrCreate()
+for name in {names!r}:
+    queries.QUERIES[name](spark, {sf!r}).write.parquet(f"{tmp}/out/{{name}}")
+"""
+
+
+def test_database_in_the_driver_on_a_cluster(tmp_path):
+    import pathlib
+    import subprocess
+    import sys
+
+    import duckdb
+    import pyspark
+    from oracle import connection, rows_of
+
+    from tidemark.queries import ORACLES, QUERIES
+
+    home, sf = tmp_path / "home", "/root/testdata/sf0.001"
+    (home / "work").mkdir(parents=True)
+    for p in pathlib.Path(pyspark.__file__).parent.iterdir():  # executors log to a folder of Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    names = sorted(n for n in QUERIES if n.startswith("jdbc_"))
+    conf = {"spark.executor.memory": "1024m", "spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.sql.warehouse.dir": f"{tmp_path}/warehouse", "spark.checkpoint.dir": f"file://{tmp_path}/shared"}
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("SPARK_", "PYSPARK_"))} | {"SPARK_HOME": str(home), "SPARK_LOCAL_DIRS": f"{tmp_path}/local", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable, "PYTHONDONTWRITEBYTECODE": "1"}
+    code = ON_A_CLUSTER.format(repo=repo, conf=conf, names=names, sf=sf, tmp=tmp_path)
+    ran = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300, stdin=subprocess.DEVNULL)
+    assert ran.returncode == 0, ran.stderr[-3000:]
+    for name in names:
+        got, want = duckdb.sql(f"SELECT * FROM read_parquet('{tmp_path}/out/{name}/*.parquet')"), connection(sf).sql(ORACLES[name])
+        assert rows_of(got.columns, got.fetchall()) == rows_of(want.columns, want.fetchall()) != []
+
+
 def test_store_accessors(spark, tmp_path):
     s = MetricsStore(spark, Settings(connection=str(tmp_path), cache=CacheConfig(True, 2 * DAY)), clock=lambda: 120.0 * DAY)
     s.insert(records(spark, day_rows(range(110, 120))))

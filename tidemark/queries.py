@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import atexit
+import contextlib
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,7 @@ from tidemark.plans.catalog import AggregationView, Catalog
 from tidemark.plans.sql import Statements
 from tidemark.plans.store import MetricsStore
 from tidemark.settings import CacheConfig, Settings
+from tidemark.sources import jdbc
 from tidemark.sources.events import events_to_metrics
 from tidemark.sources.scans import last_window, scan
 from tidemark.sources.sse import sse_messages
@@ -384,12 +390,24 @@ def ttl_evicted(spark, d):
     return record(retention.evicted(metrics(spark, d), AS_OF, 10 * DAY))
 
 
-# an external database, here one that lives in the driver
+# an external database, here one that runs in the driver, on its disk
 
 
 def _external(spark) -> Settings:
     spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
-    return Settings(engine="jdbc", connection=f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", options={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "string_type": "VARCHAR(200)"})
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="tidemark-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return Settings(engine="jdbc", connection=f"jdbc:derby:{folder}/db;create=true", options={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "string_type": "VARCHAR(200)"})
+
+
+def _released(spark, settings: Settings, df: DataFrame) -> DataFrame:
+    """On a cluster the rows of df have been written for the executors, so the database closes and its files go; else df reads it still."""
+    if jdbc.driver_only(spark, settings):
+        home = settings.connection.removeprefix("jdbc:derby:").partition(";")[0]
+        with contextlib.suppress(Py4JJavaError):  # that it has closed is told as an error
+            spark._jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{home};shutdown=true")
+        shutil.rmtree(os.path.dirname(home), ignore_errors=True)
+    return df
 
 
 def _external_store(spark, d) -> MetricsStore:
@@ -401,24 +419,27 @@ def _external_store(spark, d) -> MetricsStore:
 
 @query(M + f"SELECT {RECORD} FROM metrics WHERE timestamp BETWEEN {SPLIT} AND {SPLIT + WEEK} AND metric_id IN ('click', 'view')")
 def jdbc_metrics_range(spark, d):
-    return record(_external_store(spark, d).metrics(SPLIT, SPLIT + WEEK, ["click", "view"]))
+    store = _external_store(spark, d)
+    return _released(spark, store.settings, record(store.metrics(SPLIT, SPLIT + WEEK, ["click", "view"])))
 
 
 @query(M + f"SELECT metric_id, round(sum({SUM}), 4) AS value FROM metrics WHERE timestamp >= {SPLIT} GROUP BY 1")
 def jdbc_agg_sum(spark, d):
-    return rounded(_external_store(spark, d).aggregate(AggregateFunction.SUM, GroupBy(("metric_id",)), from_ts=SPLIT), "value")
+    store = _external_store(spark, d)
+    return _released(spark, store.settings, rounded(store.aggregate(AggregateFunction.SUM, GroupBy(("metric_id",)), from_ts=SPLIT), "value"))
 
 
 @query(_window_sql("timestamp // 86400 * 86400", "timestamp // 86400 * 86400 + 86400"))
 def jdbc_state(spark, d):
-    return _state(_external_store(spark, d).state())
+    store = _external_store(spark, d)
+    return _released(spark, store.settings, _state(store.state()))
 
 
 @query(M + f"SELECT {RECORD} FROM metrics WHERE timestamp >= {AS_OF - 10 * DAY}")
 def jdbc_evicted(spark, d):
     store = _external_store(spark, d)
     store.backend.evict(AS_OF - 10 * DAY)
-    return record(store.metrics())
+    return _released(spark, store.settings, record(store.metrics()))
 
 
 def _external_orders(spark, d) -> Catalog:
@@ -430,7 +451,8 @@ def _external_orders(spark, d) -> Catalog:
 
 @query("SELECT o_totalprice, o_orderkey, lower(o_orderstatus) AS status FROM orders WHERE o_totalprice > 100000")
 def jdbc_table_projected(spark, d):
-    return _external_orders(spark, d).table("user_orders", ["o_totalprice", "o_orderkey", "lower(o_orderstatus) AS status"]).filter("o_totalprice > 100000")
+    c = _external_orders(spark, d)
+    return _released(spark, c.external, c.table("user_orders", ["o_totalprice", "o_orderkey", "lower(o_orderstatus) AS status"]).filter("o_totalprice > 100000"))
 
 
 @query("SELECT o_orderstatus, epoch_us(o_orderdate) // 1000000 // 86400 * 86400 AS window_start, epoch_us(o_orderdate) // 1000000 // 86400 * 86400 + 86400 AS window_end, round(max(o_totalprice), 2) AS value FROM orders GROUP BY ALL")
@@ -438,7 +460,7 @@ def jdbc_view_max(spark, d):
     c = _external_orders(spark, d)
     c.register("timed", c.table("user_orders").withColumnRenamed("o_time", "timestamp"), replace=True)
     view = c.create_view(AggregationView("timed", AggregateFunction.MAX, GroupBy(("o_orderstatus",)), W.Fixed(DAY), ("o_totalprice",)), "max_by_day")
-    return c.view(view).withColumn("value", F.round("value", 2))
+    return _released(spark, c.external, c.view(view).withColumn("value", F.round("value", 2)))
 
 
 # plain SQL over the registered tables
